@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, url_filters
+from . import chat_format, quality_rules, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_frequency": quality_rules.op3_line_frequency,
         "op5_redirect_equivalence": url_filters.op5_redirect_equivalence,
         "op9_grammar_round_trip": chat_format.op9_grammar_round_trip,
     }
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_frequency": quality_rules.OP3_SQL,
         "op5_redirect_equivalence": url_filters.OP5_SQL,
         "op9_grammar_round_trip": chat_format.OP9_SQL,
     }
