@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, secret_scan, url_filters
+from . import chat_format, quality_rules, secret_scan, simhash, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_segment_popcount": simhash.op2_segment_popcount,
         "op3_line_frequency": quality_rules.op3_line_frequency,
         "op5_redirect_equivalence": url_filters.op5_redirect_equivalence,
         "op8_randomness_battery": secret_scan.op8_randomness_battery,
