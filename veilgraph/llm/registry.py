@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, secret_scan, simhash, url_filters
+from . import byte_bpe, chat_format, quality_rules, secret_scan, simhash, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_segment_popcount": simhash.op2_segment_popcount,
         "op3_line_frequency": quality_rules.op3_line_frequency,
         "op5_redirect_equivalence": url_filters.op5_redirect_equivalence,
+        "op7_distinct_words": byte_bpe.op7_distinct_words,
         "op8_randomness_battery": secret_scan.op8_randomness_battery,
         "op9_grammar_round_trip": chat_format.op9_grammar_round_trip,
     }
