@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, quality_rules, secret_scan, simhash, url_filters
+from . import byte_bpe, chat_format, quality_rules, secret_scan, simhash, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_segment_popcount": simhash.op2_segment_popcount,
         "op3_line_frequency": quality_rules.op3_line_frequency,
+        "op4_revisit_resolution": warc.op4_revisit_resolution,
         "op5_redirect_equivalence": url_filters.op5_redirect_equivalence,
         "op7_distinct_words": byte_bpe.op7_distinct_words,
         "op8_randomness_battery": secret_scan.op8_randomness_battery,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_frequency": quality_rules.OP3_SQL,
+        "op4_revisit_resolution": warc.OP4_SQL,
         "op5_redirect_equivalence": url_filters.OP5_SQL,
         "op9_grammar_round_trip": chat_format.OP9_SQL,
     }
