@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, quality_rules, secret_scan, simhash, url_filters, warc
+from . import byte_bpe, chat_format, permutation_index, quality_rules, secret_scan, simhash, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_permutation_index": permutation_index.op1_permutation_index,
         "op2_segment_popcount": simhash.op2_segment_popcount,
         "op3_line_frequency": quality_rules.op3_line_frequency,
         "op4_revisit_resolution": warc.op4_revisit_resolution,
