@@ -11,8 +11,9 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import shared_path, table
+from .common import shared_path, table, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,21 +73,23 @@ def _uri(url: Column) -> Column:
     return safe
 
 
-def render(resolved: DataFrame, pages: DataFrame) -> DataFrame:
-    """record: each WARC record of resolved as text, without its end; payloads come from pages.
+def _row_key(digest: Column) -> Column:
+    """One never-null key of page, url and payload digest; a null differs from every string."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.concat_ws("\n", told("page_id"), digest, told("url"))
 
-    A payload travels once, to its response, spread by page; revisit records have headers alone, and keep the
-    HTTP header that tells the payload's full length.
+
+def render(resolved: DataFrame, pages: DataFrame, partitions: int) -> DataFrame:
+    """record: the WARC record of each row of pages as text, without its end.
+
+    Payloads travel once, by page; every row meets its resolved header there and becomes a response or a
+    revisit, which has no payload but keeps the HTTP header that tells the payload's full length.
     """
-    keys = ["page_id", "url", "payload_digest"]
-    n = F.col("n")
-    kinds = F.array(F.struct(F.lit("response").alias("kind"), F.col("n_response").alias("times")), F.struct(F.lit("revisit").alias("kind"), (n - F.col("n_response")).alias("times")))
-    each = resolved.select("*", F.explode(kinds).alias("k")).where("k.times > 0").select("*", "k.kind", "k.times")
-    # Digests are worked out again on the side of the payloads instead of being shuffled with them.
-    payloads = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.upper(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha")).groupBy("page_id", "url", "sha").agg(F.max("html").alias("html"))
-    responses = each.where("kind = 'response'").withColumn("sha", _hex_of_base32(F.col("payload_digest")))
-    joined = responses.alias("r").join(payloads.alias("p"), F.col("r.page_id").eqNullSafe(F.col("p.page_id")) & F.col("r.url").eqNullSafe(F.col("p.url")) & (F.col("r.sha") == F.col("p.sha")))
-    rows = joined.select("r.*", "p.html").drop("sha").unionByName(each.where("kind = 'revisit'").withColumn("html", F.lit("")))
+    sha = F.upper(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    payloads = pages.select(_row_key(sha).alias("k"), F.coalesce("html", F.lit("")).alias("html")).repartition(partitions, "k")
+    heads = resolved.withColumn("k", _row_key(_hex_of_base32(F.col("payload_digest"))))
+    rows = payloads.join(heads, "k").withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("k")))
+    rows = rows.withColumn("kind", F.when(F.col("at") <= F.col("n_response"), "response").otherwise("revisit"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     revisit = F.col("kind") == "revisit"
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -108,7 +111,7 @@ def render(resolved: DataFrame, pages: DataFrame) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     record = F.concat(lines, F.lit("\r\n\r\n"), block)
-    return rows.select(F.explode(F.array_repeat(record, F.col("times").cast("int"))).alias("record"))
+    return rows.select(record.alias("record"))
 
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -131,8 +134,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     size = pages.agg(F.sum(F.length("html").cast("long")).alias("c"), F.count("*").alias("n")).first()
     n = max(1, -(-((size["c"] or 0) + 600 * size["n"]) // FILE_CHARS))
     n = max(n, min(pages.sparkSession.sparkContext.defaultParallelism, size["n"] // 1000 + 1))
-    records = render(resolve_revisits(headers_of(pages), min_bytes), pages)
-    records.repartition(n).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    records = render(resolve_revisits(written(headers_of(pages), "headers"), min_bytes), pages, n)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def records_in(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
