@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, permutation_index, quality_rules, secret_scan, simhash, url_filters, warc
+from . import byte_bpe, chat_format, permutation_index, quality_rules, secret_scan, simhash, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_frequency": quality_rules.op3_line_frequency,
         "op4_revisit_resolution": warc.op4_revisit_resolution,
         "op5_redirect_equivalence": url_filters.op5_redirect_equivalence,
+        "op6_labelled_neighbours": toxicity.op6_labelled_neighbours,
         "op7_distinct_words": byte_bpe.op7_distinct_words,
         "op8_randomness_battery": secret_scan.op8_randomness_battery,
         "op9_grammar_round_trip": chat_format.op9_grammar_round_trip,
