@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, permutation_index, quality_rules, secret_scan, simhash, toxicity, url_filters, warc
+from . import byte_bpe, chat_format, mixing, permutation_index, quality_rules, secret_scan, simhash, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_distinct_words": byte_bpe.op7_distinct_words,
         "op8_randomness_battery": secret_scan.op8_randomness_battery,
         "op9_grammar_round_trip": chat_format.op9_grammar_round_trip,
+        "op10_hierarchical_budget": mixing.op10_hierarchical_budget,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_revisit_resolution": warc.OP4_SQL,
         "op5_redirect_equivalence": url_filters.OP5_SQL,
         "op9_grammar_round_trip": chat_format.OP9_SQL,
+        "op10_hierarchical_budget": mixing.OP10_SQL,
     }
