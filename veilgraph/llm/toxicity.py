@@ -17,7 +17,7 @@ from .common import table, written
 EXAMPLES = 4096
 #: Terms of the vocabulary, at most, and the least association with the label (chi-squared, one degree) and documents.
 TERMS, MIN_CHI2, MIN_DOCS = 4096, 30.0, 5
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 4
 #: Beside whole words, their beginnings of these lengths are terms: they find what inflected words share.
 PREFIXES = (4, 5, 6, 7)
 SEED = 7
@@ -126,23 +126,46 @@ class BlockMaxIndex:
     def search(self, ids: list[int], tfs: list[int], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines, ties to the first."""
         query = self.weights(ids, tfs)
-        bounds = (self.most[ids] * query[:, None]).sum(axis=0) if len(ids) else np.zeros(self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        score, seen, step, kth = np.zeros(self.n), 0, 4, 0.0
-        found: np.ndarray = np.zeros(0, np.int64)
-        while seen < self.blocks and bounds[order[seen]] > 0 and bounds[order[seen]] >= kth - 1e-12:
+        bounds = query @ self.most[ids] if len(ids) else np.zeros(self.blocks)
+        score = np.zeros(self.n)
+        # The blocks with the highest bounds first: their k-th cosine tells which others can still matter.
+        first = np.argpartition(-bounds, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
+        self._add(score, ids, query, first)
+        found = self._best(score, k, without)
+        kth = score[found[-1]] if len(found) == k else 0.0
+        bounds[first] = 0
+        more = np.flatnonzero((bounds > 0) & (bounds >= kth - 1e-12))
+        if len(more):
+            self._add(score, ids, query, more)
+            found = self._best(score, k, without)
+        return found, score[found]
+
+    def _add(self, score: np.ndarray, ids: list[int], query: np.ndarray, blocks: np.ndarray) -> None:
+        """Adds the blocks' cosines to score; beyond some blocks a list as a whole is read faster than by its parts."""
+        if len(blocks) <= FIRST_BLOCKS:
             for t, q in zip(ids, query, strict=True):
                 who, weight, starts = self.who[t], self.weight[t], self.starts[t]
-                for b in order[seen : seen + step]:
+                for b in blocks:
                     part = slice(starts[b], starts[b + 1])
                     score[who[part]] += q * weight[part]
-            seen, step = seen + step, 2 * step
-            if without >= 0:
-                score[without] = 0
-            found = np.flatnonzero(score > 0)
-            found = found[np.lexsort((found, -score[found]))][:k]
-            kth = score[found[-1]] if len(found) == k else 0.0
-        return found, score[found]
+            return
+        own = np.zeros(self.n)
+        for t, q in zip(ids, query, strict=True):
+            own[self.who[t]] += q * self.weight[t]
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        wanted = np.repeat(wanted, BLOCK)[: self.n]
+        score[wanted] = own[wanted]
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int, without: int) -> np.ndarray:
+        if without >= 0:
+            score[without] = 0
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            kth = np.partition(score[found], -k)[-k]
+            found = found[score[found] >= kth]
+        return found[np.lexsort((found, -score[found]))][:k]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """The share of label 1 among the found, each by what it stands for and the inverse of its distance."""
