@@ -45,8 +45,9 @@ def water_fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame
     rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
     rated = nodes.withColumn("rate", F.when(rest > 0, (F.col("budget") - before) / rest))
     rate = F.max(F.when(F.col("rate") < F.col("ratio"), F.col("rate"))).over(Window.partitionBy(*parents))
-    share = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce(F.greatest(rate, F.lit(0.0)) * F.col("weight"), F.col("cap"))))
-    return rated.withColumn("share", share).drop("ratio", "rate")
+    rated = rated.withColumn("level", rate)  # null where all are full
+    share = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.col("cap"), F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.greatest(F.col("level"), F.lit(0.0)) * F.col("weight"))))
+    return rated.withColumn("share", share).drop("ratio", "rate", "level")
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str] = LEVELS, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -131,7 +132,8 @@ def _fill_sql(name: str, above: str, path: str, level: str) -> str:
 {name}_r AS (SELECT *, CASE WHEN weight > 0 THEN cap / weight ELSE 'Infinity'::DOUBLE END AS ratio FROM
   (SELECT {path}, {level}, any_value(w_{level}) AS weight, sum(leaf_cap) AS cap FROM leaf GROUP BY {path}, {level}) JOIN {above} USING ({path})),
 {name}_q AS (SELECT *, (budget - coalesce(sum(cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM {name}_r),
-{name} AS (SELECT {path}, {level}, least(cap, coalesce(greatest(max(CASE WHEN rate < ratio THEN rate END) OVER (PARTITION BY {path}), 0.0) * weight, cap)) AS budget FROM {name}_q)"""
+{name} AS (SELECT {path}, {level}, CASE WHEN rate_at IS NULL THEN cap ELSE least(cap, greatest(rate_at, 0.0) * weight) END AS budget
+  FROM (SELECT *, max(CASE WHEN rate < ratio THEN rate END) OVER (PARTITION BY {path}) AS rate_at FROM {name}_q))"""
 
 
 OP10_SQL = (
