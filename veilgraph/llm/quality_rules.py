@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, WORD, ascii_lower, table, words
+from .common import BLANK_RUN, BLANKS, WORD, ascii_lower, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -74,52 +74,58 @@ def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_DOCS_PERCENT) -> DataFrame:
-    """host, line, n_docs of the lines above the limits.
+def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_DOCS_PERCENT) -> DataFrame:
+    """host, line, n_docs of those of host_lines that are above the limits.
 
     Rows shrink to one a task, host, line and document mark before they are shuffled, and to one a task and
     line before they are counted, so that a line in a third of all documents isn't dealt to one task.
     """
-    lines = host_lines(docs, host).select("host", "line", "mark").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    counts = lines.select("host", "line", "mark").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     per_host = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    many = lines.where(F.col("n_docs") > max_docs)
+    many = counts.where(F.col("n_docs") > max_docs)
     return many.join(per_host, "host").where(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def judge_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_DOCS_PERCENT) -> DataFrame:
+def _judge(docs: DataFrame, host: str, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """The verdicts, and doc_id, line, n of every line that goes.
+
+    Lines and base counts are tables of some numbers a row in the shared folder: each text is split once, and
+    no filter on a verdict is moved into the higher-order functions that make it, which would repeat them.
+    """
+    base = written(base_counts(docs, "doc_id"), "base")
+    lines = written(host_lines(docs, host), "lines")
+    gone = lines.join(frequent_lines(lines, docs, host, **limits), ["host", "line"]).select("doc_id", "line", "n")
+    lost = gone.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
+    judged = base.join(lost, "doc_id", "left").fillna(0, ["n_frequent_words", "n_frequent_lines"])
+    left = F.col("n_words") - F.col("n_frequent_words")
+    depleted = (F.col("n_frequent_lines") > 0) & ((left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted), gone
+
+
+def judge_quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
     """doc_id, the base columns, n_frequent_words, n_frequent_lines, kept for every document.
 
     Lines of frequent_lines count as removed; a document with under 20 words or under a fifth of its words
     left is depleted and, like one whose base rules failed, not kept. Null texts have no words and fail; null
     hosts form one host. Repeated rows of a doc_id are judged each by their own text, but share what was
-    removed from them.
+    removed from them. limits: max_docs and max_percent of frequent_lines.
     """
-    base = base_counts(docs, "doc_id")
-    common = frequent_lines(docs, host, max_docs, max_percent)
-    lost = (
-        host_lines(docs, host)
-        .join(common, ["host", "line"])
-        .groupBy("doc_id")
-        .agg(F.sum("n").cast("long").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
-    )
-    judged = base.join(lost, "doc_id", "left").fillna(0, ["n_frequent_words", "n_frequent_lines"])
-    left = F.col("n_words") - F.col("n_frequent_words")
-    depleted = (F.col("n_frequent_lines") > 0) & ((left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return _judge(docs, host, **limits)[0]
 
 
 def apply_quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
     """The documents that judge_quality keeps, in their own columns and whole texts without the frequent lines.
 
-    Only documents that lose lines are rewritten, in n_chars too where the table has it.
+    Only documents that lose lines are rewritten, in n_chars too where the table has it. Rows without a
+    doc_id can't be matched with their verdict and go.
     """
-    common = frequent_lines(docs, host, **limits)
-    lost = host_lines(docs, host).join(common, ["host", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    verdict = judge_quality(docs, host, **limits).where("kept").select("doc_id").distinct()
+    judged, gone = _judge(docs, host, **limits)
+    lost = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    kept = judged.where("kept").select("doc_id").distinct().join(lost, "doc_id", "left")
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x)))), "\n")
-    out = docs.join(verdict, "doc_id", "left_semi").join(lost, "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text))
+    out = docs.join(kept, "doc_id").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
