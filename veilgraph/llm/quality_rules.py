@@ -14,6 +14,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MAX_DOCS, MAX_DOCS_PERCENT = 50, 1
 #: A document is depleted if fewer words than these remain of it.
 MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 20, 20
+#: A name that no column of the documents has.
+GONE = "__frequent_lines"
 
 
 def normal_line(line: Column) -> Column:
@@ -62,15 +64,18 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, line (hash), mark, n (words) of each line with a word.
 
-    mark is the least line digest of the document: documents that are copies, or near copies, of one another
-    share it mostly and count once in the line frequencies, so a group of copies doesn't make its own lines
-    look like boilerplate.
+    mark is the least digest of the document's other lines: documents that are copies, or near copies, of one
+    another share it mostly and count once in the line frequencies, so a group of copies doesn't make its own
+    lines look like boilerplate, while documents that share but a line count each. A line alone has its own.
     """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal_line)
     held = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.filter(lines, lambda x: x != "").alias("lines"))
-    held = held.select("doc_id", "host", "lines", F.array_min(F.transform("lines", lambda x: F.substring(F.md5(x), 1, 16))).alias("mark"))
-    return held.select("doc_id", "host", "mark", F.explode("lines").alias("text")).select(
-        "doc_id", "host", "mark", F.xxhash64("text").alias("line"), F.size(F.split("text", " ")).alias("n")
+    held = held.select("doc_id", "host", "lines", F.transform("lines", lambda x: F.substring(F.md5(x), 1, 16)).alias("digests"))
+    least = F.array_min("digests")
+    held = held.select("doc_id", "host", F.arrays_zip("lines", "digests").alias("all"), least.alias("first"), F.array_min(F.array_remove("digests", least)).alias("second"))
+    mark = F.when(F.col("l.digests") == F.col("first"), F.coalesce("second", "first")).otherwise(F.col("first"))
+    return held.select("doc_id", "host", "first", "second", F.explode("all").alias("l")).select(
+        "doc_id", "host", mark.alias("mark"), F.xxhash64("l.lines").alias("line"), F.size(F.split("l.lines", " ")).alias("n")
     )
 
 
@@ -120,12 +125,12 @@ def apply_quality(docs: DataFrame, host: str = "source", **limits: float) -> Dat
     doc_id can't be matched with their verdict and go.
     """
     judged, gone = _judge(docs, host, **limits)
-    lost = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    lost = gone.groupBy("doc_id").agg(F.collect_set("line").alias(GONE))
     kept = judged.where("kept").select("doc_id").distinct().join(lost, "doc_id", "left")
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x)))), "\n")
-    out = docs.join(kept, "doc_id").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text))
+    text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(GONE, F.xxhash64(normal_line(x)))), "\n")
+    out = docs.join(kept, "doc_id").withColumn("text", F.when(F.col(GONE).isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(GONE).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
@@ -147,7 +152,8 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 nl AS (
   SELECT doc_id, host, list_transform(lines, lambda x: regexp_replace(trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS ls FROM d),
-ln AS (SELECT doc_id, host, list_min(list_transform(ls, lambda x: substr(md5(x), 1, 16))) AS mark, unnest(ls) AS line FROM nl),
+mk AS (SELECT doc_id, host, list_sort(list_distinct(list_transform(ls, lambda x: substr(md5(x), 1, 16)))) AS ms, unnest(ls) AS line FROM nl),
+ln AS (SELECT doc_id, host, line, CASE WHEN substr(md5(line), 1, 16) = ms[1] THEN coalesce(ms[2], ms[1]) ELSE ms[1] END AS mark FROM mk),
 hosts AS (SELECT host, count(*) AS nh FROM d GROUP BY host),
 freq AS (SELECT ln.host, line FROM ln JOIN hosts USING (host) GROUP BY ln.host, line, nh HAVING count(DISTINCT mark) > 50 AND 100 * count(DISTINCT mark) > nh),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM ln JOIN freq USING (host, line) GROUP BY doc_id),
