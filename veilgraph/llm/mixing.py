@@ -26,7 +26,7 @@ def domain_of(source: Column) -> Column:
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
-    own = weights.get(level) or weights.get(level.removeprefix("_")) or {}
+    own = weights.get(level) or weights.get(level.removeprefix("__")) or {}
     chosen = F.lit(1.0)
     for name, w in sorted(own.items()):
         chosen = F.when(F.col(level) == name, F.lit(float(w))).otherwise(chosen)
@@ -65,7 +65,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str] = LEVELS, weights: Mapping[
         above = water_fill(nodes, path, level).select(*path, level, F.col("share").alias("budget"))
         path = [*path, level]
     plan = held.join(above, path).withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
-    epoch = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    epoch = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long")
     return plan.withColumn("epoch", epoch).withColumn("rest", F.col("budget") - F.col("epoch") * F.col("tokens")).select(*levels, "tokens", "budget", "epoch", "rest")
 
 
@@ -90,35 +90,40 @@ def leaf_plan(counted: DataFrame, levels: Sequence[str], seed: str, **budget: ob
     so_far = F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels, "cell").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("so_far", so_far).where("so_far <= rest").groupBy(*levels).agg(F.max("key").alias("last"))
     # A leaf without a crossing takes its whole pass; one whose cell has no fitting document stops before the cell.
-    cut = F.when(F.col("cell").isNull(), "g").otherwise(F.coalesce("last", "cell"))
+    cut = F.when(F.col("rest") <= 0, "").when(F.col("cell").isNull(), "g").otherwise(F.coalesce("last", "cell"))
     return plan.join(crossed.drop("before"), levels, "left").join(last, levels, "left").select(*levels, "budget", "epoch", cut.alias("cut"))
 
 
 def _leveled(docs: DataFrame, domain: Column) -> DataFrame:
     """docs with the levels under names of their own, never null."""
-    return docs.withColumns({"_domain": F.coalesce(domain, F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
+    return docs.withColumns({"__domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
 
 
-def mix(docs: DataFrame, domain: Column | None = None, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with copies: how often each document is in the mixture, 0 included.
-
-    Tokens are words of whole texts. A leaf gets its whole passes and, of the next seeded order, the longest
-    prefix of documents that its rest holds; rows of one doc_id go together. Null levels count as '', null
-    texts have no tokens and are in every pass. Texts aren't shuffled: documents meet a plan of one row a leaf.
-    """
+def _mixed(docs: DataFrame, domain: Column | None = None, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     held = _leveled(docs, domain if domain is not None else domain_of(F.col("source")))
-    levels = ["_domain", "_lang", "_source"]
+    levels = ["__domain", "__lang", "__source"]
     counted = written(held.select("doc_id", *levels, F.size(words(F.col("text"))).cast("long").alias("tokens")), "tokens")
     plan = written(leaf_plan(counted, levels, seed, weights=weights, share=share, epochs=epochs), "mix")
-    met = held.join(plan.select(*levels, F.col("epoch").alias("_epoch"), F.col("cut").alias("_cut")), levels)
-    again = (order_key(F.col("_epoch"), F.col("doc_id"), seed) <= F.col("_cut")).cast("long")
-    return met.select(*(held[c] for c in docs.columns), F.col("_domain").alias("mix_domain"), (F.col("_epoch") + again).alias("copies"))
+    met = held.join(plan.select(*levels, F.col("epoch").alias("__epoch"), F.col("cut").alias("__cut")), levels)
+    again = (order_key(F.col("__epoch"), F.col("doc_id"), seed) <= F.col("__cut")).cast("long")
+    return met.select(*docs.columns, "__domain", (F.col("__epoch") + again).alias("__copies"))
+
+
+def mix(docs: DataFrame, **options: object) -> DataFrame:
+    """docs with mix_domain and copies: how often each document is in the mixture, 0 included.
+
+    Tokens are words of whole texts. A leaf gets its whole passes and, of the next seeded order, the longest
+    prefix of documents that its rest holds; rows of one doc_id go together. A leaf without tokens is in once.
+    Null levels count as '', null texts have no tokens. Texts aren't shuffled: documents meet a plan of one row
+    a leaf. Columns of docs with the two new names are replaced.
+    """
+    return _mixed(docs, **options).drop("mix_domain", "copies").withColumnsRenamed({"__domain": "mix_domain", "__copies": "copies"})
 
 
 def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, each as often as the mixture has it."""
-    mixed = mix(docs, **options)
-    return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = _mixed(docs, **options).where("__copies > 0")
+    return mixed.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +161,10 @@ root AS (SELECT 0 AS r, CAST(floor(sum(tokens) * 0.6::DOUBLE) AS DOUBLE) AS budg
     + _fill_sql("c", "b", "r, d, l", "s")
     + r""",
 plan AS (
-  SELECT d, l, s, CASE WHEN tokens > 0 THEN CAST(floor(floor(budget + 1e-6) / tokens) AS BIGINT) ELSE 0 END AS epoch, CAST(floor(budget + 1e-6) AS BIGINT) AS budget, CAST(tokens AS BIGINT) AS leaf_tokens
+  SELECT d, l, s, CASE WHEN tokens > 0 THEN CAST(floor(floor(budget + 1e-6) / tokens) AS BIGINT) ELSE 1 END AS epoch, CAST(floor(budget + 1e-6) AS BIGINT) AS budget, CAST(tokens AS BIGINT) AS leaf_tokens
   FROM leaf JOIN c USING (r, d, l, s)),
 k AS (SELECT t.*, epoch, budget - epoch * leaf_tokens AS rest, md5('mix:' || epoch || ':' || doc_id) AS key FROM t JOIN plan USING (d, l, s)),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY key) AS upto FROM k)
-SELECT doc_id, d AS domain, lang, source, epoch + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM u
+SELECT doc_id, d AS domain, lang, source, epoch + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM u
 """
 )
