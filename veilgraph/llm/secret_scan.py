@@ -20,6 +20,8 @@ KINDS = (
 MIN_TOKEN = 24
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 RANDOM = "random"
+#: A name that no column of the documents has.
+SPANS = "__secret_spans"
 #: Alphabets of the encodings; a token's is the first whose characters it keeps to.
 ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -166,8 +168,8 @@ def listed(*kinds: str) -> Column:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret span replaced by [SECRET]; overlapping spans by one mark, n_chars in step."""
     spans = F.concat("assign", "access", "hex", "random")
-    found = find_secrets(docs).select("doc_id", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
-    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id"])
+    found = find_secrets(docs).select("doc_id", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(SPANS))
+    found = found.where(F.size(SPANS) > 0).dropDuplicates(["doc_id"])
     joined = docs.join(found, "doc_id", "left")
 
     def step(a: Column, s: Column) -> Column:
@@ -176,10 +178,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         said = F.when(fresh, F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("[SECRET]"))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), said.alias("out"))
 
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text")))
+    text = F.aggregate(SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = joined.withColumn("text", F.when(F.col(SPANS).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
