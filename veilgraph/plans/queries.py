@@ -31,7 +31,7 @@ def query(sql: str = "") -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return intake.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _floor_sql(column: str) -> str:

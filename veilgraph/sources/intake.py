@@ -16,6 +16,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt evenly to all cores if its files give fewer tasks than there are; else as it is.
+
+    A small table in one row group would be scanned by one core. Large tables are never shuffled for this.
+    """
+    tasks, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < tasks < cores else df
+
+
 def extension(name: Column) -> Column:
     return F.regexp_extract(F.lower(held(name)), r"\.([a-z0-9]+)\z", 1)
 
