@@ -66,7 +66,7 @@ def test_quality_base_by_hand(docs):
 
 def test_quality_frequent_lines(spark, none):
     shared = "all rights reserved in every land and for ever more by us"
-    made = [(i, f"{prose(30, i)}\n{shared}", "h") for i in range(60)] + [(1000 + i, shared + "\n" + prose(3, i), "h") for i in range(5)]
+    made = [(i, f"{prose(30, i)}\n{shared}", "h") for i in range(60)] + [(1000 + i, shared + "\n" + prose(2, i), "h") for i in range(5)]
     copies = [(2000 + i, prose(40, 777), "h") for i in range(200)]
     d = spark.createDataFrame(made + copies, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality_rules.judge_quality(d).collect()}

@@ -12,8 +12,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A line goes if more distinct documents of its host hold it than both of these allow.
 MAX_DOCS, MAX_DOCS_PERCENT = 50, 1
-#: A document is depleted if fewer words than these remain of it.
-MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 20, 20
+#: A document is depleted if fewer words, or a smaller share, than these remain of it.
+MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 5, 20
 #: A name that no column of the documents has.
 GONE = "__frequent_lines"
 
@@ -110,7 +110,7 @@ def _judge(docs: DataFrame, host: str, **limits: float) -> tuple[DataFrame, Data
 def judge_quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
     """doc_id, the base columns, n_frequent_words, n_frequent_lines, kept for every document.
 
-    Lines of frequent_lines count as removed; a document with under 20 words or under a fifth of its words
+    Lines of frequent_lines count as removed; a document with under 5 words or under a fifth of its words
     left is depleted and, like one whose base rules failed, not kept. Null texts have no words and fail; null
     hosts form one host. Repeated rows of a doc_id are judged each by their own text, but share what was
     removed from them. limits: max_docs and max_percent of frequent_lines.
@@ -165,6 +165,6 @@ b AS (
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_frequent_words AS rest FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (lost_any AND (rest < 20 OR 100 * rest < 20 * n_words)) AS kept, n_frequent_words
+  NOT base_failed AND NOT (lost_any AND (rest < 5 OR 100 * rest < 20 * n_words)) AS kept, n_frequent_words
 FROM f
 """
