@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules, text
 from ..functions.rx import re2, sql_string
-from ..operators import citations, compare, entities, regions, retrieval, scoring, spans
+from ..operators import citations, compare, entities, facets, policies, regions, retrieval, scoring, sequential, spans
 from ..sources import intake
 from ..streaming import strip
 
@@ -593,6 +593,77 @@ def index_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.quantile(density(spark, sf_dir), "words", 0.5)
 
 
+# --- walks over a text ------------------------------------------------------------------------------------------
+
+
+@query()
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.chunks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.sentences(table(spark, sf_dir, "documents"))
+
+
+@query()
+def capital_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.nominate_runs(table(spark, sf_dir, "documents"))
+
+
+@query()
+def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.placements(table(spark, sf_dir, "documents"), entity_table(spark, sf_dir))
+
+
+FX_OPINION = """SELECT * FROM (VALUES
+ (1, 'The appellant sued his former employer in 1999, and the district court entered summary judgment for the employer on every claim that he had raised. He appeals. We affirm the judgment in part and reverse in part.'),
+ (2, 'If the findings are not clearly erroneous, we affirm. The U.S. position is noted.'),
+ (3, 'The order of the district court is hereby vacated.')) AS t(doc_id, text)"""
+
+
+@query("SELECT * FROM (VALUES (1, 'We affirm the judgment in part and reverse in part.', 'mixed', NULL), (2, NULL, NULL, 'no-operative-disposition-found'), (3, 'The order of the district court is hereby vacated.', 'disturbed', NULL)) AS t(doc_id, disposition, outcome, disposition_reason)")
+def opinion_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets of made-up opinions; the SQL has the answers as given."""
+    return facets.facets(spark.sql(FX_OPINION)).select("doc_id", "disposition", "outcome", "disposition_reason")
+
+
+@query()
+def paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.paragraphs(table(spark, sf_dir, "documents"))
+
+
+FX_SHAPES = "SELECT * FROM (VALUES (1, 'On 3 May 2004 he paid EUR 1,200 under the Data Act 1998, aged 44, in 2001, no. 345/02.')) AS t(doc_id, text)"
+
+
+@query("SELECT * FROM (VALUES ('3 May', '[Date]'), ('3 May 2004', '[Date]'), ('May 2004', '[Date]'), ('May 20', '[Date]'), ('2004', '[Date]'), ('2001', '[Date]'), ('EUR 1,200', '[Amount]'), ('aged 44', '[Age]'), ('345/02', '[Code]')) AS t(span, tag) WHERE span <> 'May 20'")
+def shape_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.shape_regions(spark.sql(FX_SHAPES)).select("span", "tag")
+
+
+FX_VETO = "SELECT * FROM (VALUES ('his wife', 'kinship'), ('elected judge', 'court-official'), ('Supreme Court', 'institutional'), ('Person3', 'tag-word'), ('one two three four five six seven', 'footprint'), ('Jane Roe', NULL)) AS t(span, reason)"
+
+
+@query(f"SELECT span, reason FROM ({FX_VETO})")
+def keep_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FX_VETO).select("span", policies.keep_veto(F.col("span")).alias("reason"))
+
+
+@query("SELECT * FROM (VALUES ('Court of Vale''s', 'court', true), ('Acme', 'company', false), ('Vale Org', 'other', false)) AS t(span, label, restored)")
+def restore_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql("SELECT * FROM (VALUES (1, \"Court of Vale's\", 'COMPANY'), (1, 'Acme', 'COMPANY'), (1, 'Vale Org', 'COMPANY')) AS t(doc_id, span, cls)")
+    verdicts = spark.sql("SELECT * FROM (VALUES ('court of vale', 'court'), ('acme', 'company')) AS t(low, label)")
+    return policies.restore(rows, verdicts, ("court", "government")).select("span", "label", "restored")
+
+
+FX_GATE = "SELECT * FROM (VALUES (1, false, true, true, true, 3, 0, CAST(NULL AS STRING), 0, ''), (2, false, false, false, true, 3, 3, 'x', 1, 'unreviewed,incomplete,nothing-kept,divergence,holds'), (3, true, false, false, false, 0, 0, NULL, 0, 'not-verified')) AS t(doc_id, sample, reviewed, complete, verified, rows, dead, divergence, holds, told)"
+
+
+@query(f"SELECT doc_id, told AS reasons, told <> '' AS blocked FROM ({FX_GATE})")
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.release_gate(spark.sql(FX_GATE)).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "blocked")
+
+
 # --- intake and comparison --------------------------------------------------------------------------------------
 
 FX_BYTES = "SELECT * FROM (VALUES ('a.docx', '504B030414', 'docx', 'docx'), ('b.xlsx', '504B030414', 'xlsx', 'refuse'), ('c.zip', '504B050600', 'zip', 'refuse'), ('d.txt', '504B4B', 'txt', 'text'), ('e.pdf', '255044462D312E', 'pdf', 'pdf'), ('f.doc', 'D0CF11E0A1', 'doc-legacy', 'refuse'), ('g.msg', 'D0CF11E0A1', 'msg', 'refuse'), ('h.txt', '789F3E2201', 'tnef', 'refuse'), ('i.txt', '7B5C72746631', 'rtf', 'refuse'), ('j.eml', '46726F6D', 'eml', 'refuse'), ('k.bin', '0001', 'binary', 'refuse'), ('l', '48656C6C6F', 'text', 'text')) AS t(name, bytes, fmt, route)"
