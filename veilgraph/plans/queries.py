@@ -329,7 +329,10 @@ def section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.as_of(_regions(spark, sf_dir), headers)
 
 
-@query()
+@query(f"""{_MERGED}, g AS (SELECT doc_id, min(s) AS s, max(e) AS e, arg_min(tag, pos) AS tag FROM b GROUP BY doc_id, island),
+l AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS was FROM g),
+p AS (SELECT doc_id, string_agg(substr(text, CAST(was + 1 AS BIGINT), CAST(l.s - was AS BIGINT)) || '[' || tag || ']', '' ORDER BY l.s) AS front, max(e) AS last FROM l JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN front IS NULL THEN text ELSE front || substr(text, CAST(last + 1 AS BIGINT)) END AS masked FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id""")
 def regions_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.render(table(spark, sf_dir, "documents").select("doc_id", "text"), _regions(spark, sf_dir).withColumn("tag", F.concat(F.lit("["), "tag", F.lit("]"))))
 
@@ -389,6 +392,16 @@ def facet_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.facet_jaccard(held, held).withColumn("facet", F.round("facet", 6))
 
 
+_HYBRID = f"""WITH cases AS ({_CASES}), vocab AS ({_VOCAB}), {_tfidf_sql('cases', 'doc_id')},
+t AS (SELECT doc_id, tag, weight FROM cases, vocab WHERE regexp_matches(text, '\\b' || term || '\\b')),
+s AS (SELECT doc_id, sum(weight) AS s FROM t GROUP BY 1),
+f AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight)::DOUBLE AS bo FROM t x JOIN t y USING (tag) GROUP BY 1, 2),
+j AS (SELECT a, b, bo / (x.s + y.s - bo) AS facet FROM f JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id),
+c AS (SELECT x.id AS a, y.id AS b, sum(x.w / x.norm * (y.w / y.norm)) AS cos FROM v x JOIN v y USING (term) WHERE x.id <> y.id GROUP BY 1, 2),
+h AS (SELECT c.a, c.b, CASE WHEN c.a IN (SELECT doc_id FROM s) AND c.b IN (SELECT doc_id FROM s) THEN 0.5 * cos + 0.5 * coalesce(facet, 0) ELSE cos END AS score FROM c LEFT JOIN j ON c.a = j.a AND c.b = j.b),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM h)"""
+
+
 def _hybrid(spark: SparkSession) -> DataFrame:
     docs = spark.sql(_CASES)
     v, tagged = _vectors(docs, "doc_id"), retrieval.tags(docs, spark.sql(_VOCAB))
@@ -398,12 +411,12 @@ def _hybrid(spark: SparkSession) -> DataFrame:
     return both.select("a", "b", retrieval.hybrid(F.col("cos"), F.col("facet"), F.coalesce(F.col("ha") & F.col("hb"), F.lit(False))).alias("cos"))
 
 
-@query()
+@query(f"{_HYBRID} SELECT a, b, CAST(rn AS INT) AS rank, round(score, 6) AS score FROM r WHERE rn <= 3")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank(_hybrid(spark), 3).select("a", "b", "rank", F.round("cos", 6).alias("score"))
 
 
-@query()
+@query(f"{_HYBRID} SELECT count(*) AS n, avg(CASE WHEN x.cluster = y.cluster THEN 1.0 ELSE 0.0 END)::DOUBLE AS p_at_k, avg(CASE WHEN x.cluster = y.cluster THEN 1.0 ELSE 0.0 END)::DOUBLE AS top1 FROM r JOIN cases x ON a = x.doc_id JOIN cases y ON b = y.doc_id WHERE rn = 1")
 def precision_at_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.sql(_CASES).select("doc_id", "cluster")
     ranked = retrieval.rank(_hybrid(spark), 1).join(cases.withColumnsRenamed({"doc_id": "a", "cluster": "ca"}), "a").join(cases.withColumnsRenamed({"doc_id": "b", "cluster": "cb"}), "b")
@@ -472,19 +485,38 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_cosines(spark, sf_dir).select("a", "b", F.round("cos", 6).alias("t"), r.alias("r"), c.alias("c"))
 
 
-@query()
+_SYN = f"""{_COS}, pa AS (SELECT a, b, round(cos, 6) AS t, CAST((a + b) % 5 AS DOUBLE) AS r, CASE WHEN (a * 7 + b) % 11 = 0 THEN 1 ELSE 0 END AS c FROM c),
+bo AS (SELECT a AS holder, b AS cand, t, r, c FROM pa UNION ALL SELECT b, a, t, r, c FROM pa),
+nn AS (SELECT count(*) AS n FROM benchmark),
+me AS (SELECT cand, sum(t) / (max(n) - 1) AS mt, sum(r) / (max(n) - 1) AS mr FROM bo, nn GROUP BY cand),
+gl AS (SELECT sum(mt) / max(n) AS gt, sum(mr) / max(n) AS gr FROM me, nn)"""
+
+
+def _synergy_sql(t: str, r: str) -> str:
+    return f"""{_SYN}, ad AS (SELECT holder, cand, c, {t} AS xt, {r} AS xr FROM bo JOIN me USING (cand), gl),
+mx AS (SELECT max(c) AS mc, max(xt) AS mxt, max(xr) AS mxr FROM ad),
+sc AS (SELECT holder, cand, round(3.0::DOUBLE * CASE WHEN mc > 0 THEN c / mc::DOUBLE ELSE 0 END + 2.0::DOUBLE * CASE WHEN mxt > 0 THEN xt / mxt ELSE 0 END + 1.0::DOUBLE * CASE WHEN mxr > 0 THEN xr / mxr ELSE 0 END, 3) AS score FROM ad, mx),
+ra AS (SELECT *, row_number() OVER (PARTITION BY holder ORDER BY score DESC, cand) AS rn FROM sc WHERE score > 0)"""
+
+
+_LIFT = _synergy_sql("CASE WHEN mt + gt > 0 THEN t / (mt + gt) ELSE 0 END", "CASE WHEN mr + gr > 0 THEN r / (mr + gr) ELSE 0 END")
+
+
+@query(f"{_LIFT} SELECT holder, cand, score, CAST(rn AS INT) AS rank FROM ra WHERE rn <= 12")
 def synergy_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return citations.synergy(_pairs(spark, sf_dir), nodes, "lift")
 
 
-@query()
+@query(f"{_synergy_sql('greatest(0.0, t - mt)', 'greatest(0.0, r - mr)')} SELECT holder, cand, score, CAST(rn AS INT) AS rank FROM ra WHERE rn <= 12")
 def synergy_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return citations.synergy(_pairs(spark, sf_dir), nodes, "sub")
 
 
-@query()
+@query(f"""{_LIFT}, sd AS (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3),
+be AS (SELECT cand, score, holder AS via, row_number() OVER (PARTITION BY cand ORDER BY score DESC, holder) AS o FROM ra WHERE rn <= 12 AND holder IN (FROM sd) AND cand NOT IN (FROM sd))
+SELECT cand, score, via FROM be WHERE o = 1 ORDER BY score DESC, cand LIMIT 12""")
 def synergy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(F.col("item_id").alias("id"))
     return citations.for_seeds(synergy_lift(spark, sf_dir), seeds)
