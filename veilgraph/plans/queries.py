@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules, text
 from ..functions.rx import re2, sql_string
-from ..operators import citations, compare, entities, facets, policies, regions, retrieval, scoring, sequential, spans
+from ..operators import audit, citations, compare, entities, facets, policies, regions, retrieval, scoring, sequential, spans
 from ..sources import intake
 from ..streaming import strip
 
@@ -696,6 +696,54 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.release_gate(spark.sql(FX_GATE)).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "blocked")
 
 
+# --- audits -----------------------------------------------------------------------------------------------------
+
+
+@query(f"{_COS}, o AS (SELECT a, b, cos FROM c UNION ALL SELECT b, a, cos FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS rn FROM o), l AS (SELECT x.item_id AS a, y.item_id AS b FROM benchmark x, benchmark y WHERE x.item_id <> y.item_id AND (x.item_id + y.item_id) % 7 = 0), e AS (SELECT l.a, coalesce(1.0::DOUBLE / min(rn), 0.0) AS rr, count(*) FILTER (rn <= 10)::DOUBLE / count(*) AS f FROM l LEFT JOIN r ON l.a = r.a AND l.b = r.b GROUP BY l.a) SELECT count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(f), 6) AS recall FROM e")
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean inverse rank and recall of a made-up relevance (ids that add up to a multiple of 7) under text similarity."""
+    cos = _benchmark_cosines(spark, sf_dir)
+    ranked = retrieval.rank(cos.union(cos.select("b", "a", "cos")), 1 << 30)
+    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), (F.col("item_id") % 7).alias("r"))
+    relevant = ids.join(ids.select(F.col("a").alias("b"), ((7 - F.col("r")) % 7).alias("r")), "r").where("a != b").select("a", "b")
+    return audit.ranking_quality(ranked, relevant).select("n", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH r AS (SELECT DISTINCT doc_id, s, e, tag AS rule FROM ({_R})), k AS ({_K}) SELECT rule, count(*) AS nominated, count(*) FILTER (EXISTS (SELECT 1 FROM k WHERE k.doc_id = r.doc_id AND r.s < k.e AND r.e > k.s)) AS on_gold FROM r GROUP BY rule")
+def rule_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rule_board(_regions(spark, sf_dir).withColumnRenamed("tag", "rule"), _keep(spark, sf_dir))
+
+
+@query("SELECT lang, source AS name, 'Person ' || CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE CAST(n AS VARCHAR) END AS alias FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) AS n FROM (SELECT DISTINCT lang, source FROM documents))")
+def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("name")).distinct()
+    return audit.aliases(names, "lang")
+
+
+@query("SELECT o_orderkey, o_custkey, 'missing' AS side FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'surplus' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0")
+def out_of_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without every seventh but with every eleventh once more, against orders: what each side lacks."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return audit.out_of_step(orders.where("o_orderkey % 7 != 0").union(orders.where("o_orderkey % 11 = 0")), orders)
+
+
+@query()
+def marker_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.marker_sites(table(spark, sf_dir, "documents"))
+
+
+@query()
+def probe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.probe_phrases(table(spark, sf_dir, "documents"))
+
+
+@query()
+def encoded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct long tokens of the documents that look encoded."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{16,}"), 0)).alias("token")).distinct()
+    return tokens.where(audit.encoder_shaped(F.col("token")))
+
+
 # --- intake and comparison --------------------------------------------------------------------------------------
 
 FX_BYTES = "SELECT * FROM (VALUES ('a.docx', '504B030414', 'docx', 'docx'), ('b.xlsx', '504B030414', 'xlsx', 'refuse'), ('c.zip', '504B050600', 'zip', 'refuse'), ('d.txt', '504B4B', 'txt', 'text'), ('e.pdf', '255044462D312E', 'pdf', 'pdf'), ('f.doc', 'D0CF11E0A1', 'doc-legacy', 'refuse'), ('g.msg', 'D0CF11E0A1', 'msg', 'refuse'), ('h.txt', '789F3E2201', 'tnef', 'refuse'), ('i.txt', '7B5C72746631', 'rtf', 'refuse'), ('j.eml', '46726F6D', 'eml', 'refuse'), ('k.bin', '0001', 'binary', 'refuse'), ('l', '48656C6C6F', 'text', 'text')) AS t(name, bytes, fmt, route)"
