@@ -25,7 +25,7 @@ from .common import shared_path, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Characters after which a block closes, which bounds what a worker holds; a longer document is a block alone.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 40_000_000
 #: Dictionary entries that the encoding step packs into one row.
 PACK = 1 << 18
 
