@@ -36,7 +36,7 @@ def test_query(spark, con, name):
         assert sorted(told.columns) == columns
         at = [told.columns.index(c) for c in columns]
         assert got == sorted(repr(tuple(plain(r[i]) for i in at)) for r in told.fetchall())
-    elif name not in ("address_spans", "suspicion_shortlist"):
+    elif name not in ("address_spans", "suspicion_shortlist", "encoded_tokens"):  # the smallest tables have none
         assert got
 
 
