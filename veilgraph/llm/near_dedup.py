@@ -3,6 +3,8 @@
 At a similarity of 0.8 two 64-bit SimHash fingerprints differ in ten bits on average and in three or fewer only
 in a few per cent of cases, so the segment-popcount grid alone can't find such pairs. Its links are therefore
 joined by pairs that share a min-hash band; both kinds are candidates only, and every one is checked exactly.
+A bucket's members first meet two of them; where that leaves a bucket in several groups, an exact join over
+prefixes of the sets finds what else links in it.
 """
 
 from __future__ import annotations
@@ -79,6 +81,14 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles as bytes) to node, size and the shingles as integers."""
+    for batch in batches:
+        sets = [np.frombuffer(b.as_py(), "<i8") for b in batch.column(1)]
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "size", "shingles"])
+
+
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """(src, dst) nodes to compare, src < dst.
 
@@ -97,6 +107,52 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return every.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
 
 
+def unsettled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, component of the members of buckets that the two ends leave in several components.
+
+    Of four members or more some two haven't met; in a bucket of one component they needn't.
+    """
+    named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands")
+    posted = named.select("node", "component", F.posexplode("bands").alias("band", "key"))
+    mixed = posted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return posted.join(mixed.where("n > 3 and least != most"), ["band", "key"]).select("node", "component").distinct()
+
+
+def prefix_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) nodes of different components that can have the similarity; no pair that has it is left out.
+
+    sets: node, shingles; parts: node, component. Shingles are ordered from the rarest. A set of n that is similar
+    to one no larger shares similarity * n with it, and one of m that is similar to one no smaller shares
+    2 * similarity / (1 + similarity) * m; so the first n or m less that many, and one, have a shingle in common.
+    What a long passage or template gives to many sets comes last and in few prefixes. Shingles of one set alone
+    take their places in its prefix but are never joined.
+    """
+    held = cut(sets.mapInArrow(_hashed, "node binary, size long, shingles array<long>").select("node", "size", F.explode("shingles").alias("s")))
+    rare = held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    own = held.join(rare, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    size, alone = F.col("size"), F.col("size") - F.size("all")
+    asks = size - F.ceil(size * similarity - 1e-9) + 1
+    lies = size - F.ceil(size * (2 * similarity / (1 + similarity)) - 1e-9) + 1
+    own = own.withColumns({"lies": lies - alone, "first": F.slice("all", 1, F.greatest(F.lit(0), asks - alone).cast("int"))})
+    posted = cut(own.join(parts, "node").select("node", "component", "size", "lies", F.posexplode("first").alias("at", "x")).select("node", "component", "size", "lies", "at", F.col("x.s").alias("s")))
+    a, b = posted.alias("a"), posted.where("at < lies").alias("b")
+    order = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") > F.col("b.node")))
+    met = a.join(b, "s").where(order & (F.col("a.component") != F.col("b.component")) & (F.col("b.size") >= F.col("a.size") * similarity - 1e-9))
+    return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """node, shingles of the asked nodes, each from the text of its first document."""
+    first = asked.join(nodes.select("node", F.col("first").alias("doc_id")), "node")
+    texts = docs.join(first, "doc_id").select("node", "text")
+    return texts.mapInArrow(_shingle_sets(width), "node binary, shingles binary").dropDuplicates(["node"])
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    met = pairs.join(sets.withColumnsRenamed({"node": "src", "shingles": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "shingles": "b"}), "dst")
+    return met.select("src", "dst", "a", "b").mapInArrow(_similar(similarity), "src binary, dst binary")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, group_id of every row with a doc_id; group_id is the smallest doc_id of its near-duplicates.
 
@@ -110,13 +166,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     nodes = written(nodes, "nodes")
     pairs = written(candidate_pairs(nodes.select("node", "fp", "bands")), "pairs")
     asked = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
-    asked = asked.join(nodes.select("node", F.col("first").alias("doc_id")), "node")
-    texts = docs.join(asked, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(_shingle_sets(width), "node binary, shingles binary")
-    sets = sets.dropDuplicates(["node"])
-    met = pairs.join(sets.withColumnsRenamed({"node": "src", "shingles": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "shingles": "b"}), "dst")
-    edges = met.select("src", "dst", "a", "b").mapInArrow(_similar(similarity), "src binary, dst binary")
-    parts = connected_components(cut(edges)).withColumnRenamed("node", "n")
+    edges = cut(_similar_pairs(pairs, _sets(docs, nodes, asked, width), similarity))
+    parts = cut(connected_components(edges))
+    open_ = cut(unsettled(nodes.select("node", "bands"), parts))
+    if not open_.isEmpty():
+        sets = cut(_sets(docs, nodes, open_.select("node"), width))
+        more = cut(_similar_pairs(prefix_pairs(sets, open_, similarity), sets, similarity))
+        if not more.isEmpty():
+            parts = connected_components(edges.union(more))
+    parts = parts.withColumnRenamed("node", "n")
     named = nodes.select("node", "first").join(parts, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("group_id"))
     groups = named.join(least, "component").select("node", "group_id")
