@@ -159,6 +159,16 @@ def test_secret_spans_by_hand(spark, docs, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_redaction_goes_by_row(spark):
+    r = random.Random(8)
+    key = "a1B" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(61))
+    made = [(None, "x password=abcdefgh y"), (None, f"see {key} there"), (1, "one password=ijklmnop"), (1, "nothing in here but plain words"), (1, "a longer beginning password=qrstuvwx z"), (2, None)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((x.doc_id, x.text) for x in secret_scan.redact_secrets(d).collect())
+    assert got == Counter([(None, "x [SECRET] y"), (None, "see [SECRET] there"), (1, "one [SECRET]"), (1, "nothing in here but plain words"), (1, "a longer beginning [SECRET] z"), (2, None)])
+    assert sum(len(x.random) for x in secret_scan.find_secrets(d).where("doc_id is null").collect()) == 1
+
+
 def test_battery_tells_random_from_structured(spark):
     r = random.Random(3)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -22,6 +22,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 RANDOM = "random"
 #: A name that no column of the documents has.
 SPANS = "__secret_spans"
+#: And one for a digest of a row's id and text: spans are of a text, and ids may be null or come with several.
+ROW = "__secret_row"
 #: Alphabets of the encodings; a token's is the first whose characters it keeps to.
 ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -59,11 +61,15 @@ def _long_enough(head: str, least: int) -> Callable[[Column], Column]:
     return lambda s: F.length(F.regexp_replace(s["hit"], head, "") if head else s["hit"]) >= least
 
 
+def row_key() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Of docs the doc_id, an array of spans for each kind and the tokens that the battery is to test; row by row."""
+    """Of docs the doc_id, the row's key, an array of spans for each kind and the tokens that the battery is to test; row by row."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", *(_spans(text, pattern).alias(kind) for kind, pattern, _, _ in (*KINDS, ("tokens", TOKEN, "", 0))))
-    out = [F.col("doc_id")]
+    found = docs.select("doc_id", row_key().alias(ROW), *(_spans(text, pattern).alias(kind) for kind, pattern, _, _ in (*KINDS, ("tokens", TOKEN, "", 0))))
+    out = [F.col("doc_id"), F.col(ROW)]
     for kind, _, head, least in KINDS:
         out.append(F.filter(_placed(F.col(kind)), _long_enough(head, least)).alias(kind))
     return found.select(*out, _placed(F.col("tokens")).alias("tokens"))
@@ -133,27 +139,31 @@ def cutoffs(tested: DataFrame) -> DataFrame:
     return steps.select("encoding", "band", F.aggregate("all", start, grow, lambda a: a["cut"]).alias("cut"))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, assign, access, hex, random (arrays of start, end, hit) of every document.
-
-    random holds the tokens of 24 characters or more that keep to an encoding's alphabet and that the battery
-    doesn't reject as structured at a false-discovery rate of 5 % in their encoding and length band, where
-    they overlap no base span. Null and empty texts have none; repeated rows are scanned each. Lineage is cut
-    once, after the scan, in a table that holds the few spans and no text.
-    """
+def _found(docs: DataFrame) -> DataFrame:
+    """What find_secrets gives, with the key of the row."""
     found = written(scan(docs), "secrets")
     tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
     tested = battery(tokens.select("hit").distinct())
     # A row of the cuts at most for each encoding and band: a map of 128 entries joins every document.
     cuts = cutoffs(tested).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", "band"), "cut"))).alias("cuts"))
-    passed = battery(found.where(F.size("tokens") > 0).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.*"))
+    passed = battery(found.where(F.size("tokens") > 0).select(ROW, F.explode("tokens").alias("t")).select(ROW, "t.*"))
     own = F.coalesce(F.col("cuts")[F.concat_ws(":", "encoding", F.floor(F.log2("n")).cast("int"))], F.lit(LAST + 1))
-    passed = passed.join(F.broadcast(cuts)).where(F.floor(-F.log2("p") * STEPS) < own).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "hit"))).alias("random"))
-    joined = found.drop("tokens").join(passed, "doc_id", "left")
+    passed = passed.join(F.broadcast(cuts)).where(F.floor(-F.log2("p") * STEPS) < own).groupBy(ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end", "hit"))).alias("random"))
+    joined = found.drop("tokens").join(passed, ROW, "left")
     base = F.concat("assign", "access", "hex")
     apart = F.filter("random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return joined.withColumn("random", F.coalesce(apart, F.array().cast("array<struct<start:int,end:int,hit:string>>")))
 
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, assign, access, hex, random (arrays of start, end, hit) of every document.
+
+    random holds the tokens of 24 characters or more that keep to an encoding's alphabet and that the battery
+    doesn't reject as structured at a false-discovery rate of 5 % in their encoding and length band, where
+    they overlap no base span. Null and empty texts have none; repeated rows are scanned each. Lineage is cut
+    once, after the scan, in a table that holds the few spans and no text.
+    """
+    return _found(docs).drop(ROW)
+
 
 def listed(*kinds: str) -> Column:
     """kind:start:end of the spans of these columns by start, then in the order given, comma-joined."""
@@ -166,11 +176,14 @@ def listed(*kinds: str) -> Column:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every secret span replaced by [SECRET]; overlapping spans by one mark, n_chars in step."""
+    """docs with every secret span replaced by [SECRET]; overlapping spans by one mark, n_chars in step.
+
+    Each row loses the spans of its own text, whatever its doc_id.
+    """
     spans = F.concat("assign", "access", "hex", "random")
-    found = find_secrets(docs).select("doc_id", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(SPANS))
-    found = found.where(F.size(SPANS) > 0).dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id", "left")
+    found = _found(docs).select(ROW, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(SPANS))
+    found = found.where(F.size(SPANS) > 0).dropDuplicates([ROW])
+    joined = docs.withColumn(ROW, row_key()).join(found, ROW, "left")
 
     def step(a: Column, s: Column) -> Column:
         # Text up to the span, then one mark; a span inside what is covered only moves the end.
