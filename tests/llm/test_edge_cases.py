@@ -78,6 +78,14 @@ def test_quality_frequent_lines(spark, none):
     assert quality_rules.judge_quality(none).count() == 0 and quality_rules.apply_quality(none).columns == none.columns
 
 
+def test_quality_counts_documents_of_a_long_footer(spark):
+    footer = "\n".join(f"footer line {i} of the site in which all rights are reserved" for i in range(20))
+    d = spark.createDataFrame([(i, f"{prose(200, i)}\n{footer}", "h") for i in range(300)], "doc_id long, text string, source string")
+    lines = quality_rules.host_lines(d)
+    assert sorted(r.n_docs for r in quality_rules.frequent_lines(lines, d).collect()) == [300] * 20
+    assert {r.n_frequent_words for r in quality_rules.judge_quality(d).collect()} == {len(footer.split())}
+
+
 def brute_fp(text):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []

@@ -64,19 +64,14 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, line (hash), mark, n (words) of each line with a word.
 
-    mark is the least digest of the document's other lines: documents that are copies, or near copies, of one
-    another share it mostly and count once in the line frequencies, so a group of copies doesn't make its own
-    lines look like boilerplate, while documents that share but a line count each. A line alone has its own.
+    mark is a digest of all lines of the document in their order: exact copies of one another share it and count
+    once in the line frequencies, so a group of copies doesn't make its own lines look like boilerplate, while
+    documents that differ in any line count each.
     """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal_line)
     held = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.filter(lines, lambda x: x != "").alias("lines"))
-    held = held.select("doc_id", "host", "lines", F.transform("lines", lambda x: F.substring(F.md5(x), 1, 16)).alias("digests"))
-    least = F.array_min("digests")
-    held = held.select("doc_id", "host", F.arrays_zip("lines", "digests").alias("all"), least.alias("first"), F.array_min(F.array_remove("digests", least)).alias("second"))
-    mark = F.when(F.col("l.digests") == F.col("first"), F.coalesce("second", "first")).otherwise(F.col("first"))
-    return held.select("doc_id", "host", "first", "second", F.explode("all").alias("l")).select(
-        "doc_id", "host", mark.alias("mark"), F.xxhash64("l.lines").alias("line"), F.size(F.split("l.lines", " ")).alias("n")
-    )
+    held = held.select("doc_id", "host", F.xxhash64("lines").alias("mark"), F.explode("lines").alias("l"))
+    return held.select("doc_id", "host", "mark", F.xxhash64("l").alias("line"), F.size(F.split("l", " ")).alias("n"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_DOCS_PERCENT) -> DataFrame:
