@@ -167,6 +167,19 @@ def test_secret_spans_by_hand(spark, docs, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_battery_knows_whole_alphabets(spark):
+    r, n = random.Random(9), 200
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base36": low + digits, "base32": low + "234567", "capitals": up + digits, "letters": up + low, "base62": up + low + digits}
+    made = [(i, f"see {''.join(r.choice(letters) for _ in range(m))} there", kind) for m in (24, 32, 40) for kind, letters in kinds.items() for i in range(n)]
+    words = [(0, "see internationalizationframeworks there", "words"), (1, "see aaaaaaaaaaaa1111111111112222 there", "words")]
+    d = spark.createDataFrame(made + words, "doc_id long, text string, kind string")
+    d = d.withColumn("doc_id", F.xxhash64("kind", "text"))
+    hits = {x.doc_id for x in secret_scan.find_secrets(d).collect() if x.random}
+    told = Counter(x.kind for x in d.collect() if x.doc_id in hits)
+    assert all(told[kind] >= 0.9 * 3 * n for kind in kinds) and not told["words"]
+
+
 def test_redaction_goes_by_row(spark):
     r = random.Random(8)
     key = "a1B" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(61))

@@ -24,12 +24,19 @@ RANDOM = "random"
 SPANS = "__secret_spans"
 #: And one for a digest of a row's id and text: spans are of a text, and ids may be null or come with several.
 ROW = "__secret_row"
-#: Alphabets of the encodings; a token's is the first whose characters it keeps to.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets of the encodings; a token's is the first whose characters it keeps to. Letters of one case alone are
+#: an encoding only as capitals, as in lower case they are words that have run together.
 ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("base32", r"^[A-Z2-7]+$", _UPPER + "234567"),
+    ("base32lower", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+$", _LOWER + "234567"),
+    ("base36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
+    ("base36lower", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", _UPPER + _LOWER),
+    ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
+    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 FALSE_DISCOVERY = 0.05
 #: p-values are counted by quarter powers of two, down to 2**-50.
@@ -124,7 +131,7 @@ def cutoffs(tested: DataFrame) -> DataFrame:
 
     A band is a power of two of the length, so that long tokens, whose tests have power, don't lend theirs to
     short ones. p-values count by step, rounded up; tokens at the step of the cut or beyond are rejected as not
-    random. At most 4 encodings x 32 bands x 201 steps of counts, however long the input.
+    random. At most 9 encodings x 32 bands x 201 steps of counts, however long the input.
     """
     step = F.floor(-F.log2("p") * STEPS).cast("int")
     counts = tested.groupBy("encoding", F.floor(F.log2("n")).cast("int").alias("band"), step.alias("step")).agg(F.count("*").alias("c"))
@@ -144,7 +151,7 @@ def _found(docs: DataFrame) -> DataFrame:
     found = written(scan(docs), "secrets")
     tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
     tested = battery(tokens.select("hit").distinct())
-    # A row of the cuts at most for each encoding and band: a map of 128 entries joins every document.
+    # A row of the cuts at most for each encoding and band: a map of 288 entries at most joins every document.
     cuts = cutoffs(tested).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", "band"), "cut"))).alias("cuts"))
     passed = battery(found.where(F.size("tokens") > 0).select(ROW, F.explode("tokens").alias("t")).select(ROW, "t.*"))
     own = F.coalesce(F.col("cuts")[F.concat_ws(":", "encoding", F.floor(F.log2("n")).cast("int"))], F.lit(LAST + 1))
