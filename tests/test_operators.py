@@ -147,3 +147,16 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     got = strip.floor_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.select("doc_id", text.floor_mask(F.col("text"))).collect()}
+
+
+def test_suspicion_has_the_features_of_the_reference(spark):
+    told = {
+        "the unit SE060622 was sold": {"SE060622": 2}, "unit SE060622-001 and Aurora-0204": {"SE060622-001": 2, "Aurora-0204": 2}, "of ps acquisition sub corp. then": {"corp": 2},
+        "[Person1] McAdams left": {"McAdams": 2}, "[Person1] Goldstein left": {"Goldstein": 2}, "McAdams left": {}, "see REPORT_1.PDF": {"REPORT_1.PDF": 2},
+        "the Director Of McAdams": {"McAdams": 2}, "a 30-day term and A1-B2": {}, "the co and a plain line": {},
+    }
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id int, text string")
+    got: dict = {i: {} for i in range(len(told))}
+    for r in spans.suspicion(docs, spans.SUSPICIOUS).collect():
+        got[r.doc_id][r.span] = r.score
+    assert got == dict(enumerate(told.values()))

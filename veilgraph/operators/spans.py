@@ -113,10 +113,12 @@ def suspicion(docs: DataFrame, features: tuple = (), threshold: int = 2, most: i
 
 #: The shapes that make a surviving token suspicious. Fixed values.
 SUSPICIOUS = (
-    ("digit-hybrid", 2, r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+$", None),
-    ("file-ish", 2, r"^[A-Za-z0-9_-]{4,40}\.(?:htm|html|pdf|docx?|xlsx?)$", None),
+    ("corp-suffix", 2, r"(?i)^(?:corp|inc|llc|llp|ltd|plc|gmbh|pte|bhd|sdn|co)\.?$", None),
+    ("name-particle", 1, r"^(?:Mc|O')|(?:berg|stein|owitz|escu|opoulos|ssen)$", None),
+    ("digit-hybrid", 2, r"^[A-Za-z]{2,10}-[0-9]{2,6}$|^[A-Z]{2}[0-9]{4,8}(?:-[0-9]{1,4})*$", None),
+    ("file-ish", 2, r"(?i)^[a-z0-9_-]{4,40}\.(?:htm|html|pdf|docx?|xlsx?)$", None),
     ("honorific-adjacent", 2, r"^[A-Z]", r"(?:Mr|Ms|Mrs|Dr|Prof|Sir|Dame|Mdm)\.?\s*$"),
-    ("title-of-adjacent", 1, r"^[A-Z]", r"(?:CEO|CFO|CTO|COO|President|Chairman|Director|founder)\s+of\s*$"),
+    ("title-of-adjacent", 1, r"^[A-Z]", r"(?i)(?:CEO|CFO|CTO|COO|President|Chairman|Director|founder)\s+of\s*$"),
     ("mask-adjacent-cap", 1, r"^[A-Z]", r"\[(?:Person|Company|Brand|Address|Email|Phone|Id)\d+\]\s*$"),
     ("camel-residue", 1, r"^[a-z]+[A-Z][A-Za-z]+$", None),
 )
