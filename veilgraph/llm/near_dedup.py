@@ -3,7 +3,7 @@
 At a similarity of 0.8 two 64-bit SimHash fingerprints differ in ten bits on average and in three or fewer only
 in a few per cent of cases, so the segment-popcount grid alone can't find such pairs. Its links are therefore
 joined by pairs that share a min-hash band; both kinds are candidates only, and every one is checked exactly.
-A bucket's members first meet two of them; where that leaves a bucket in several groups, an exact join over
+A bucket's members first meet three of them; where that leaves a bucket in several groups, an exact join over
 prefixes of the sets finds what else links in it.
 """
 
@@ -92,14 +92,18 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """(src, dst) nodes to compare, src < dst.
 
-    In a band's bucket each member meets two, the least and the greatest by a hash that differs by band, so a
-    bucket of any size gives pairs in proportion and other bands bring other partners; the two are found by
-    pre-aggregation. Fingerprints linked by the grid, and equal ones, bring their nodes together likewise.
+    In a band's bucket each member meets three: the least and the greatest by a hash that differs by band, and
+    the one whose buckets hold the most over all bands, which in a group of near copies is what they are copies
+    of. So a bucket of any size gives pairs in proportion; the three are found by pre-aggregation. Fingerprints
+    linked by the grid, and equal ones, bring their nodes together likewise.
     """
     posted = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     place = F.xxhash64("node", "band")
-    ends = posted.groupBy("band", "key").agg(F.min_by("node", place).alias("low"), F.max_by("node", place).alias("high")).where("low != high")
-    met = posted.join(ends, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("other"))
+    ends = posted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", place).alias("low"), F.max_by("node", place).alias("high")).where("n > 1")
+    held = cut(posted.join(ends, ["band", "key"]))
+    reach = held.groupBy("node").agg(F.sum("n").alias("reach"))
+    centres = held.where("n > 2").join(reach, "node").groupBy("band", "key").agg(F.max(F.struct("reach", "node"))["node"].alias("centre"))
+    met = held.select("node", F.explode(F.array("low", "high")).alias("other")).union(held.where("n > 2").join(centres, ["band", "key"]).select("node", "centre"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").select("node", F.col("first").alias("other"))
     linked = links(first).join(first.select(F.col("fp").alias("src"), F.col("first").alias("node")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("other")), "dst").select("node", "other")
@@ -110,12 +114,12 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
 def unsettled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """node, component of the members of buckets that the two ends leave in several components.
 
-    Of four members or more some two haven't met; in a bucket of one component they needn't.
+    Of five members or more some two haven't met; in a bucket of one component they needn't.
     """
     named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands")
     posted = named.select("node", "component", F.posexplode("bands").alias("band", "key"))
     mixed = posted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-    return posted.join(mixed.where("n > 3 and least != most"), ["band", "key"]).select("node", "component").distinct()
+    return posted.join(mixed.where("n > 4 and least != most"), ["band", "key"]).select("node", "component").distinct()
 
 
 def prefix_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
@@ -133,11 +137,14 @@ def prefix_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFr
     size, alone = F.col("size"), F.col("size") - F.size("all")
     asks = size - F.ceil(size * similarity - 1e-9) + 1
     lies = size - F.ceil(size * (2 * similarity / (1 + similarity)) - 1e-9) + 1
-    own = own.withColumns({"lies": lies - alone, "first": F.slice("all", 1, F.greatest(F.lit(0), asks - alone).cast("int"))})
-    posted = cut(own.join(parts, "node").select("node", "component", "size", "lies", F.posexplode("first").alias("at", "x")).select("node", "component", "size", "lies", "at", F.col("x.s").alias("s")))
+    own = own.withColumns({"alone": alone, "lies": lies - alone, "first": F.slice("all", 1, F.greatest(F.lit(0), asks - alone).cast("int"))})
+    posted = own.join(parts, "node").select("node", "component", "size", "alone", "lies", F.posexplode("first").alias("at", "x"))
+    posted = cut(posted.select("node", "component", "size", "lies", "at", (size - F.col("alone") - F.col("at")).alias("rest"), F.col("x.s").alias("s")))
     a, b = posted.alias("a"), posted.where("at < lies").alias("b")
     order = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") > F.col("b.node")))
-    met = a.join(b, "s").where(order & (F.col("a.component") != F.col("b.component")) & (F.col("b.size") >= F.col("a.size") * similarity - 1e-9))
+    # Where a pair's first common shingle stands, no more than what follows it in either set can be shared.
+    enough = F.least("a.rest", "b.rest") >= (F.col("a.size") + F.col("b.size")) * (similarity / (1 + similarity)) - 1e-9
+    met = a.join(b, "s").where(order & enough & (F.col("a.component") != F.col("b.component")) & (F.col("b.size") >= F.col("a.size") * similarity - 1e-9))
     return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
