@@ -86,6 +86,27 @@ def test_quality_counts_documents_of_a_long_footer(spark):
     assert {r.n_frequent_words for r in quality_rules.judge_quality(d).collect()} == {len(footer.split())}
 
 
+def test_quality_finds_a_template_and_goes_by_row(spark):
+    template = "\n".join(prose(11, 9000 + i) for i in range(4))
+    pages = [(i, f"{template}\nitem {i}", "shop") for i in range(300)] + [(1000 + i, f"{prose(60, i)}", "shop") for i in range(300)]
+    odd = [(None, f"{template}\n{prose(50, 5000)}", "shop"), (None, prose(50, 5001), None), (7, f"{template}\n{prose(50, 5002)}", "shop"), (7, f"{template}\n{prose(50, 5002)}", "shop"), (1000, "too short", "shop"), (8, None, "shop")]
+    d = spark.createDataFrame(pages + odd, "doc_id long, text string, source string").withColumn("lines", F.lit("x")).withColumn("n_chars", F.length("text").cast("long"))
+    n = len(template.split())
+    got = quality_rules.judge_quality(d).collect()
+    assert len(got) == len(pages + odd)
+    assert all(not r.kept and r.n_frequent_words == n for r in got if r.doc_id is not None and r.doc_id < 300 and r.doc_id != 7 and r.n_words)
+    clean = Counter((r.doc_id, r.text, r.n_chars) for r in quality_rules.apply_quality(d).collect())
+    want = [(i, t) for i, t, _ in pages if i >= 1000] + [(None, prose(50, 5000)), (None, prose(50, 5001)), (7, prose(50, 5002)), (7, prose(50, 5002))]
+    assert clean == Counter((i, t, len(t)) for i, t in want)
+
+
+def test_quality_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
+    shared = "all rights reserved in every land and for ever more by us"
+    d = spark.createDataFrame([(i, f"{prose(30, i)}\n{shared}", "h") for i in range(60)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in quality_rules.apply_quality(d).collect()} == {i: prose(30, i) for i in range(60)}
+
+
 def brute_fp(text):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []

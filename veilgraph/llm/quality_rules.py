@@ -14,8 +14,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MAX_DOCS, MAX_DOCS_PERCENT = 50, 1
 #: A document is depleted if fewer words, or a smaller share, than these remain of it.
 MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 5, 20
-#: A name that no column of the documents has.
-GONE = "__frequent_lines"
+#: Lines that go, over all documents that lose some, up to which these are broadcast; 8 bytes each.
+BROADCAST_LINES = 1 << 18
 
 
 def normal_line(line: Column) -> Column:
@@ -61,45 +61,56 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
     return held.withColumn("base_failed", failed)
 
 
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host), F.lit(""))
+
+
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that have a word."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line), lambda x: x != "")
+
+
+def _mark(lines: Column) -> Column:
+    """A digest of all normalised lines in their order: what makes two documents the same text."""
+    return F.unhex(F.md5(F.array_join(lines, "\n").cast("binary")))
+
+
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, line (hash), mark, n (words) of each line with a word.
+    """host, mark, at (position), line (hash), n (words) of each line with a word of every row.
 
-    mark is a digest of all lines of the document in their order: exact copies of one another share it and count
-    once in the line frequencies, so a group of copies doesn't make its own lines look like boilerplate, while
-    documents that differ in any line count each.
+    mark is the same for exact copies, all of whose normalised lines are equal, and for no others.
     """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal_line)
-    held = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.filter(lines, lambda x: x != "").alias("lines"))
-    held = held.select("doc_id", "host", F.xxhash64("lines").alias("mark"), F.explode("lines").alias("l"))
-    return held.select("doc_id", "host", "mark", F.xxhash64("l").alias("line"), F.size(F.split("l", " ")).alias("n"))
+    held = docs.select(_host(host).alias("host"), _lines(F.col("text")).alias("lines"))
+    held = held.select("host", _mark(F.col("lines")).alias("mark"), F.posexplode("lines").alias("at", "l"))
+    return held.select("host", "mark", "at", F.xxhash64("l").alias("line"), F.size(F.split("l", " ")).alias("n"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_DOCS_PERCENT) -> DataFrame:
     """host, line, n_docs of those of host_lines that are above the limits.
 
-    Rows shrink to one a task, host, line and document mark before they are shuffled, and to one a task and
-    line before they are counted, so that a line in a third of all documents isn't dealt to one task.
+    n_docs counts distinct documents: exact copies of one another are one, or a group of copies would make
+    boilerplate of its whole text; documents that differ in any line count each. Rows shrink to one a task,
+    host, line and document before they are shuffled, and to one a task and line before they are counted, so
+    that a line in a third of all documents isn't dealt to one task.
     """
     counts = lines.select("host", "line", "mark").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    per_host = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
+    per_host = docs.groupBy(_host(host).alias("host")).agg(F.count("*").alias("host_docs"))
     many = counts.where(F.col("n_docs") > max_docs)
     return many.join(per_host, "host").where(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def _judge(docs: DataFrame, host: str, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """The verdicts, and doc_id, line, n of every line that goes.
-
-    Lines and base counts are tables of some numbers a row in the shared folder: each text is split once, and
-    no filter on a verdict is moved into the higher-order functions that make it, which would repeat them.
-    """
-    base = written(base_counts(docs, "doc_id"), "base")
+def lost_lines(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """host, mark, gone (hashes of its lines that go), n_words and n_lines in them, of each distinct document that loses some."""
     lines = written(host_lines(docs, host), "lines")
-    gone = lines.join(frequent_lines(lines, docs, host, **limits), ["host", "line"]).select("doc_id", "line", "n")
-    lost = gone.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
-    judged = base.join(lost, "doc_id", "left").fillna(0, ["n_frequent_words", "n_frequent_lines"])
+    # Copies bring the same lines at the same positions.
+    gone = lines.join(frequent_lines(lines, docs, host, **limits), ["host", "line"]).select("host", "mark", "at", "line", "n").distinct()
+    lost = gone.groupBy("host", "mark").agg(F.collect_set("line").alias("gone"), F.sum("n").cast("long").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
+    return written(lost, "lost")
+
+
+def _depleted() -> Column:
     left = F.col("n_words") - F.col("n_frequent_words")
-    depleted = (F.col("n_frequent_lines") > 0) & ((left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted), gone
+    return (F.col("n_frequent_lines") > 0) & ((left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
 
 
 def judge_quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
@@ -107,29 +118,37 @@ def judge_quality(docs: DataFrame, host: str = "source", **limits: float) -> Dat
 
     Lines of frequent_lines count as removed; a document with under 5 words or under a fifth of its words
     left is depleted and, like one whose base rules failed, not kept. Null texts have no words and fail; null
-    hosts form one host. Repeated rows of a doc_id are judged each by their own text, but share what was
-    removed from them. limits: max_docs and max_percent of frequent_lines.
+    hosts form one host. Each row is judged by its own text and host, whatever its doc_id, null or repeated.
+    limits: max_docs and max_percent of frequent_lines.
     """
-    return _judge(docs, host, **limits)[0]
+    keyed = docs.select("doc_id", "text", _host(host).alias("host"), _mark(_lines(F.col("text"))).alias("mark"))
+    base = written(base_counts(keyed, "doc_id", "host", "mark"), "base")
+    judged = base.join(lost_lines(docs, host, **limits).drop("gone"), ["host", "mark"], "left").fillna(0, ["n_frequent_words", "n_frequent_lines"])
+    return judged.withColumn("kept", ~F.col("base_failed") & ~_depleted()).drop("host", "mark")
 
 
 def apply_quality(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """The documents that judge_quality keeps, in their own columns and whole texts without the frequent lines.
+    """The rows that judge_quality keeps, in their own columns and whole texts without the frequent lines.
 
-    Only documents that lose lines are rewritten, in n_chars too where the table has it. Rows without a
-    doc_id can't be matched with their verdict and go.
+    Only documents that lose lines are rewritten, in n_chars too where the table has it. No text is shuffled
+    while those that lose lines are under BROADCAST_LINES lines in all, which is counted; beyond that texts
+    meet their lines in a join that can be split.
     """
-    judged, gone = _judge(docs, host, **limits)
-    lost = gone.groupBy("doc_id").agg(F.collect_set("line").alias(GONE))
-    kept = judged.where("kept").select("doc_id").distinct().join(lost, "doc_id", "left")
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(GONE, F.xxhash64(normal_line(x)))), "\n")
-    out = docs.join(kept, "doc_id").withColumn("text", F.when(F.col(GONE).isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(GONE).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    lost = lost_lines(docs, host, **limits)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", _host(host).alias("host"), _mark(_lines(F.col("text"))).alias("mark"))
+    # A filter isn't moved below the id, where it would repeat the higher-order functions that make the verdict.
+    based = base_counts(keyed, "row", "host", "mark").withColumn("id", F.monotonically_increasing_id()).where(~F.col("base_failed"))
+    few = (lost.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES
+    met = based.join(F.broadcast(lost) if few else lost, ["host", "mark"], "left").fillna(0, ["n_frequent_words", "n_frequent_lines"]).where(~_depleted())
+    lines = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))))
+    rewritten = met.withColumn("text", F.when(F.col("gone").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("row.text")))
+    size = F.when(F.col("gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    own = {"text": F.col("text"), "n_chars": size}
+    return rewritten.select(*((own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_quality over all documents, by source as the host."""
     return judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words"
     )
@@ -147,8 +166,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 nl AS (
   SELECT doc_id, host, list_transform(lines, lambda x: regexp_replace(trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS ls FROM d),
-mk AS (SELECT doc_id, host, list_sort(list_distinct(list_transform(ls, lambda x: substr(md5(x), 1, 16)))) AS ms, unnest(ls) AS line FROM nl),
-ln AS (SELECT doc_id, host, line, CASE WHEN substr(md5(line), 1, 16) = ms[1] THEN coalesce(ms[2], ms[1]) ELSE ms[1] END AS mark FROM mk),
+ln AS (SELECT doc_id, host, md5(array_to_string(ls, chr(10))) AS mark, unnest(ls) AS line FROM nl),
 hosts AS (SELECT host, count(*) AS nh FROM d GROUP BY host),
 freq AS (SELECT ln.host, line FROM ln JOIN hosts USING (host) GROUP BY ln.host, line, nh HAVING count(DISTINCT mark) > 50 AND 100 * count(DISTINCT mark) > nh),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM ln JOIN freq USING (host, line) GROUP BY doc_id),
