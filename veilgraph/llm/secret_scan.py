@@ -2,174 +2,234 @@
 
 from __future__ import annotations
 
-
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from ..operators.spans import PAGE, matches
+from .common import LOWER, UPPER, table, written
 
-#: (kind, pattern, part of the match whose length counts, least length), in the order of the contract.
+#: (kind, pattern, part of the match whose length doesn't count, least length), in the order of the contract.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(?is)^[a-z_]+["']?\x20*[:=]\x20*["']?""", 6),
     ("access", r"AKIA[A-Z0-9]+", "", 20),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", "", 24),
 )
-#: Runs of token characters that the battery looks at; shorter ones give its tests no power.
-MIN_TOKEN = 24
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
+#: Runs of token characters that the battery looks at.
+MIN_TOKEN = 16
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 RANDOM = "random"
-#: A name that no column of the documents has.
-SPANS = "__secret_spans"
-#: And one for a digest of a row's id and text: spans are of a text, and ids may be null or come with several.
-ROW = "__secret_row"
-_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Alphabets of the encodings; a token's is the first whose characters it keeps to. Letters of one case alone are
-#: an encoding only as capitals, as in lower case they are words that have run together.
+MARK = "[SECRET]"
+DIGITS = "0123456789"
+#: Alphabets of the encodings; a token's is the first whose characters it keeps to. Letters of lower case alone are
+#: words that have run together, and no encoding.
 ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    ("base32", r"^[A-Z2-7]+$", _UPPER + "234567"),
-    ("base32lower", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+$", _LOWER + "234567"),
-    ("base36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
-    ("base36lower", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
-    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", _UPPER + _LOWER),
-    ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
+    ("base32lower", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+$", LOWER + "234567"),
+    ("base36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER),
+    ("base36lower", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", UPPER + LOWER),
+    ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
+    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+#: Ordinary tokens: how a character's class (upper, lower, digit, other) follows the one before, or the start. An
+#: encoding without a class shares its part out among the others.
+CLASSES = ((0.40, 0.50, 0.08, 0.02), (0.08, 0.82, 0.06, 0.04), (0.11, 0.08, 0.75, 0.06), (0.25, 0.50, 0.23, 0.02), (0.30, 0.50, 0.15, 0.05))
+#: Letters of ordinary text in per mille, a to z; they stand in for PRIOR letters seen after each letter.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+PRIOR = 20
 FALSE_DISCOVERY = 0.05
+#: A token that the three tests tell from random characters at this level is structured, whatever else it is.
+STRUCTURED = 0.001
 #: p-values are counted by quarter powers of two, down to 2**-50.
 STEPS, LAST = 4, 200
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in code points.
+def _long_enough(head: str, least: int) -> Callable[[Column], Column]:
+    return lambda s: F.length(F.regexp_replace(s["span"], head, "") if head else s["span"]) >= least
 
-    The pieces between matches and the matches take turns, so their lengths add up to the offsets.
-    """
-    return F.when(text.rlike(pattern), F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits")))
 
+def base_spans(text: Column) -> dict[str, Column]:
+    """By kind the array<struct<start, end, span>> of the contract's base secrets in a text, in code points."""
+    return {kind: F.filter(matches(text, pattern), _long_enough(head, least)) for kind, pattern, head, least in KINDS}
 
-def _placed(found: Column) -> Column:
-    """The spans of _spans, by a running end; null without matches."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("all"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("all"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, inside of one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    pairs = F.zip_with(F.slice(found["gaps"], 1, F.size(found["hits"])), found["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.coalesce(F.aggregate(pairs, zero, step, lambda a: a["all"]), F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
+def _total(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
 
-def _long_enough(head: str, least: int) -> Callable[[Column], Column]:
-    return lambda s: F.length(F.regexp_replace(s["hit"], head, "") if head else s["hit"]) >= least
 
+def _tail(z: Column) -> Column:
+    """The upper tail of the normal distribution, by a logistic approximation with error under 0.0002."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(z * 1.5976 + z * z * z * 0.070565992))
 
-def row_key() -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
+def random_p(plain: Column, alphabet: Column) -> Column:
+    """The evidence against random characters of the alphabet: three times the least p of the three tests.
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Of docs the doc_id, the row's key, an array of spans for each kind and the tokens that the battery is to test; row by row."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", row_key().alias(ROW), *(_spans(text, pattern).alias(kind) for kind, pattern, _, _ in (*KINDS, ("tokens", TOKEN, "", 0))))
-    out = [F.col("doc_id"), F.col(ROW)]
-    for kind, _, head, least in KINDS:
-        out.append(F.filter(_placed(F.col(kind)), _long_enough(head, least)).alias(kind))
-    return found.select(*out, _placed(F.col("tokens")).alias("tokens"))
+    Chi-squared uniformity over the alphabet (its exact mean and variance, upper tail), runs of the lower and
+    upper half of the alphabet, and lag-1 serial correlation of the values, both two-sided.
+    """
+    n, k = F.length(plain).cast("double"), F.length(alphabet).cast("double")
+    counts = F.transform(F.split(alphabet, ""), lambda a: F.when(a == "", 0.0).otherwise((F.length(plain) - F.length(F.replace(plain, a, F.lit("")))).cast("double")))
+    z_uniform = (k / n * _total(F.transform(counts, lambda c: c * c)) - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+
+    def sequence(values: Column) -> Column:
+        mean, high = _total(values) / n, _total(F.transform(values, lambda v: (v > k / 2).cast("double")))
+        pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        runs = _total(F.transform(pairs, lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double"))) + 1
+        twice = 2 * high * (n - high)
+        var_runs = twice * (twice - n) / (n * n * (n - 1))
+        p_runs = F.when(var_runs > 0, 2 * _tail(F.abs((runs - twice / n - 1) / F.sqrt(var_runs)))).otherwise(0.0)
+
+        def lagged(mean: Column) -> Column:
+            lag, spread = _total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))), _total(F.transform(values, lambda v: (v - mean) * (v - mean)))
+            return _let(F.struct(lag.alias("lag"), spread.alias("spread")), lambda x: F.when(x["spread"] > 0, 2 * _tail(F.abs((x["lag"] / x["spread"] + 1 / n) * F.sqrt(n)))).otherwise(0.0))
+
+        return F.least(p_runs, _let(mean, lagged))
+
+    values = F.filter(F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double")), lambda v: v > 0)
+    return F.least(F.lit(1.0), 3 * F.least(_tail(z_uniform), _let(values, sequence)))
+
+
+def _numbers(x: list[float]) -> Column:
+    """A constant array, by way of one string: the optimizer folds it."""
+    return F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>")
+
+
+class Ordinary:
+    """How ordinary tokens of each encoding run: their classes by CLASSES, their letters by the pairs of the corpus's own words."""
+
+    def __init__(self, pairs: dict[str, int]):
+        said = [x / sum(LETTERS) for x in LETTERS]
+        self.letters = [math.log(x) for x in said]  # after no letter
+        for a in LOWER:
+            own = [pairs.get(a + b, 0) for b in LOWER]
+            self.letters = self.letters + [math.log((n + PRIOR * p) / (sum(own) + PRIOR)) for n, p in zip(own, said, strict=True)]
+        self.classes: list[float] = []
+        for _, _, alphabet in ALPHABETS:
+            held = [sum(c in group for c in alphabet) for group in (UPPER, LOWER, DIGITS, "+/-_")]
+            for row in CLASSES:
+                whole = sum(p for p, n in zip(row, held, strict=True) if n)
+                # A class's characters are alike but for letters, whose own pairs decide unless there are few, as in hex.
+                self.classes += [math.log(p / whole) - (math.log(n) if i > 1 or n < 26 else 0.0) if n else -99.0 for i, (p, n) in enumerate(zip(row, held, strict=True))]
+
+    def log_p(self, plain: Column, encoding: Column, alphabet: Column) -> Column:
+        """The log of an upper bound on the chance that an ordinary token of its length looks as random as this one.
+
+        How much likelier its characters are at random than as ordinary text has a mean of one over ordinary
+        tokens, so by Markov's inequality it is above 1 / p with a chance of p at most, at every length. The
+        ratio is that of the three tests: frequencies of characters, runs of classes and what follows what.
+        """
+        letters, classes, every = _numbers(self.letters), _numbers(self.classes), F.lit(UPPER + LOWER + DIGITS + "+/-_")
+        few = F.length(alphabet) < 26
+        kind = lambda v: F.when(v <= 26, 0).when(v <= 52, 1).when(v <= 62, 2).otherwise(3)
+        letter = lambda v: F.when(v <= 52, (v - 1) % 26 + 1).otherwise(0)
+
+        def told(values: Column) -> Column:
+            def one(v: Column, i: Column) -> Column:
+                before = F.get(values, i - 1)
+                by_class = F.get(classes, (encoding * len(CLASSES) + F.when(i > 0, kind(before)).otherwise(4)) * 4 + kind(v))
+                before_letter = F.when((i > 0) & (before <= 52), letter(before)).otherwise(0)
+                by_letter = F.when((v <= 52) & ~few, F.get(letters, before_letter * 26 + letter(v) - 1)).otherwise(0.0)
+                return by_class + by_letter + F.log(F.length(alphabet).cast("double"))
+
+            return _total(F.transform(values, one))
+
+        values = F.filter(F.transform(F.split(plain, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(every, c))), lambda v: v > 0)
+        return _let(values, told)
+
+
+def battery(hit: Column, ordinary: Ordinary) -> Column:
+    """struct(encoding, band, step) of a token, null if it keeps to no encoding.
+
+    band is a power of two of its length, step a count of quarter powers of two that its p-value is worth: 0
+    for a token that the three tests find structured, else by how little an ordinary token of its encoding
+    and length looks like it.
+    """
+    at = None
+    for i, (_, shape, _) in enumerate(ALPHABETS):
+        at = F.when(hit.rlike(shape), i) if at is None else at.when(hit.rlike(shape), i)
 
+    def judged(i: Column) -> Column:
+        alphabet = F.get(F.lit([letters for _, _, letters in ALPHABETS]), i)
+        plain = F.when(i == 0, F.lower(hit)).otherwise(hit)
+        worth = F.least(F.lit(float(LAST)), F.greatest(F.lit(0.0), F.floor(-ordinary.log_p(plain, i, alphabet) / math.log(2) * STEPS).cast("double")))
+        step = F.when(random_p(plain, alphabet) < STRUCTURED, 0.0).otherwise(worth).cast("int")
+        return F.when(i.isNotNull(), F.struct(F.get(F.lit([name for name, _, _ in ALPHABETS]), i).alias("encoding"), F.floor(F.log2(F.length(hit))).cast("int").alias("band"), step.alias("step")))
 
-def _tail(z: Column) -> Column:
-    """The upper tail of the normal distribution, by a logistic approximation with error under 0.0002."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(z * 1.5976 + z * z * z * 0.070565992))
+    return _let(at, judged)
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """tokens with encoding, n and p: the evidence against random characters of the inferred encoding.
+def cutoffs(tested: DataFrame) -> dict[str, int]:
+    """By encoding and band the step from which tokens are discoveries, by Benjamini and Hochberg's rule.
 
-    Three tests: chi-squared uniformity over the alphabet (its exact mean and variance, upper tail), runs of
-    the lower and upper half of the alphabet, and lag-1 serial correlation of the values, both two-sided.
-    p is three times the least of the three (Bonferroni). Tokens of no encoding have none.
+    tested: the battery's b of each distinct token, null where there is none. A band is a power of two of the length, so that long
+    tokens, for which the tests have power, don't lend theirs to short ones. At most 9 encodings x 32 bands x
+    201 steps are counted, however long the input.
     """
-    hit = F.col("hit")
-    encoding = alphabet = None
-    for name, shape, letters in ALPHABETS:
-        encoding = F.when(hit.rlike(shape), name) if encoding is None else encoding.when(hit.rlike(shape), name)
-        alphabet = F.when(hit.rlike(shape), letters) if alphabet is None else alphabet.when(hit.rlike(shape), letters)
-    held = tokens.withColumns({"encoding": encoding, "alphabet": alphabet}).where("encoding is not null")
-    held = held.withColumn("plain", F.when(F.col("encoding") == "hex", F.lower("hit")).otherwise(hit)).withColumn("n", F.length("hit"))
-    values = F.transform(F.split("plain", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double"))
-    counts = F.transform(F.split("alphabet", ""), lambda a: (F.col("n") - F.length(F.replace(F.col("plain"), a, F.lit("")))).cast("double"))
-    held = held.withColumns({"values": F.filter(values, lambda v: v > 0), "squares": F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c), "letters": F.length("alphabet").cast("double")})
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    held = held.withColumns({"mean": total(F.col("values")) / F.col("n"), "high": total(F.transform("values", lambda v: (v > F.col("letters") / 2).cast("double")))})
-    after = F.slice("values", 2, F.greatest(F.col("n") - 1, F.lit(1)))
-    pairs = F.zip_with(F.slice("values", 1, F.greatest(F.col("n") - 1, F.lit(1))), after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    held = held.withColumn("pairs", pairs)
-    held = held.withColumns(
-        {
-            "runs": total(F.transform("pairs", lambda p: ((p["a"] > F.col("letters") / 2) != (p["b"] > F.col("letters") / 2)).cast("double"))) + 1,
-            "lag": total(F.transform("pairs", lambda p: (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))),
-            "spread": total(F.transform("values", lambda v: (v - F.col("mean")) * (v - F.col("mean")))),
-        }
-    )
-    n, k, high = F.col("n").cast("double"), F.col("letters"), F.col("high")
-    z_uniform = (k / n * F.col("squares") - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    low = n - high
-    mean_runs, var_runs = 2 * high * low / n + 1, 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
-    p_runs = F.when(var_runs > 0, 2 * _tail(F.abs((F.col("runs") - mean_runs) / F.sqrt(var_runs)))).otherwise(0.0)
-    p_lag = F.when(F.col("spread") > 0, 2 * _tail(F.abs((F.col("lag") / F.col("spread") + 1 / n) * F.sqrt(n)))).otherwise(0.0)
-    p = F.least(F.lit(1.0), 3 * F.least(_tail(z_uniform), p_runs, p_lag))
-    return held.withColumn("p", F.greatest(p, F.lit(2.0 ** (-LAST / STEPS)))).drop("alphabet", "plain", "values", "squares", "letters", "mean", "high", "pairs", "runs", "lag", "spread")
-
-
-def cutoffs(tested: DataFrame) -> DataFrame:
-    """encoding, band, step: the Benjamini-Hochberg cut of the tokens of an encoding in a length band.
-
-    A band is a power of two of the length, so that long tokens, whose tests have power, don't lend theirs to
-    short ones. p-values count by step, rounded up; tokens at the step of the cut or beyond are rejected as not
-    random. At most 9 encodings x 32 bands x 201 steps of counts, however long the input.
-    """
-    step = F.floor(-F.log2("p") * STEPS).cast("int")
-    counts = tested.groupBy("encoding", F.floor(F.log2("n")).cast("int").alias("band"), step.alias("step")).agg(F.count("*").alias("c"))
-    steps = counts.groupBy("encoding", "band").agg(F.sort_array(F.collect_list(F.struct("step", "c")), asc=False).alias("all"), F.sum("c").alias("m"))
-
-    def grow(a: Column, x: Column) -> Column:
-        k = a["k"] + x["c"]
-        passed = F.pow(F.lit(2.0), -x["step"] / STEPS) <= k * FALSE_DISCOVERY / F.col("m")
-        return F.struct(k.alias("k"), F.when(passed, x["step"]).otherwise(a["cut"]).alias("cut"))
-
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(LAST + 1).alias("cut"))
-    return steps.select("encoding", "band", F.aggregate("all", start, grow, lambda a: a["cut"]).alias("cut"))
-
-
-def _found(docs: DataFrame) -> DataFrame:
-    """What find_secrets gives, with the key of the row."""
-    found = written(scan(docs), "secrets")
-    tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
-    tested = battery(tokens.select("hit").distinct())
-    # A row of the cuts at most for each encoding and band: a map of 288 entries at most joins every document.
-    cuts = cutoffs(tested).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", "band"), "cut"))).alias("cuts"))
-    passed = battery(found.where(F.size("tokens") > 0).select(ROW, F.explode("tokens").alias("t")).select(ROW, "t.*"))
-    own = F.coalesce(F.col("cuts")[F.concat_ws(":", "encoding", F.floor(F.log2("n")).cast("int"))], F.lit(LAST + 1))
-    passed = passed.join(F.broadcast(cuts)).where(F.floor(-F.log2("p") * STEPS) < own).groupBy(ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end", "hit"))).alias("random"))
-    joined = found.drop("tokens").join(passed, ROW, "left")
-    base = F.concat("assign", "access", "hex")
-    apart = F.filter("random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return joined.withColumn("random", F.coalesce(apart, F.array().cast("array<struct<start:int,end:int,hit:string>>")))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for b, c in tested.groupBy("b").agg(F.count("*").alias("c")).collect():
+        if b is not None:
+            counts.setdefault(f"{b['encoding']}:{b['band']}", []).append((b["step"], c))
+    found = {}
+    for key, own in counts.items():
+        m, k = sum(c for _, c in own), 0
+        for step, c in sorted(own, reverse=True):
+            k += c
+            if 2.0 ** (-step / STEPS) <= k * FALSE_DISCOVERY / m:
+                found[key] = step
+    return found
+
+
+class Scanner:
+    """What random tokens are in a corpus: the ordinary tokens it is held against, and the cuts by encoding and length."""
+
+    def __init__(self, docs: DataFrame):
+        text = F.coalesce("text", F.lit(""))
+        hits = written(docs.where(F.col("text").rlike(TOKEN)).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), 0))).alias("hit")).distinct(), "tokens")
+        runs = hits.where(F.col("hit").rlike("^[A-Za-z]+$")).select(F.explode(F.regexp_extract_all("hit", F.lit("[a-z]{5,}|[A-Z]{5,}"), 0)).alias("run"))
+        pairs = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.lower(F.substring(F.col("run"), i, F.lit(2))))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+        self.ordinary = Ordinary({r["pair"]: r["n"] for r in pairs.collect()})  # 676 pairs at most
+        self.cuts = cutoffs(hits.select(battery(F.col("hit"), self.ordinary).alias("b")))
+
+    def random(self, text: Column) -> Column:
+        """array<struct<start, end, span>> of the discoveries in a text."""
+        if not self.cuts:
+            return F.array().cast("array<struct<start:int,end:int,span:string>>")
+        cuts = F.create_map(*(F.lit(x) for pair in sorted(self.cuts.items()) for x in pair))
+
+        def discovered(s: Column) -> Column:
+            return _let(battery(s["span"], self.ordinary), lambda b: F.coalesce(b["step"] >= F.try_element_at(cuts, F.concat_ws(":", b["encoding"], b["band"].cast("string"))), F.lit(False)))
+
+        return F.filter(matches(text, TOKEN), discovered)
+
+    def spans(self, docs: DataFrame, *keep: str | Column) -> DataFrame:
+        """keep and an array of spans for each kind, RANDOM last, row by row."""
+        text = F.coalesce("text", F.lit(""))
+        found = docs.select(*keep, *(c.alias(kind) for kind, c in base_spans(text).items()), self.random(text).alias(RANDOM))
+        base = F.concat(*(F.col(kind) for kind, *_ in KINDS))
+        apart = F.filter(RANDOM, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return found.withColumn(RANDOM, apart)
+
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, assign, access, hex, random (arrays of start, end, hit) of every document.
+    """doc_id, assign, access, hex, random (arrays of start, end, span) of every document.
 
-    random holds the tokens of 24 characters or more that keep to an encoding's alphabet and that the battery
-    doesn't reject as structured at a false-discovery rate of 5 % in their encoding and length band, where
-    they overlap no base span. Null and empty texts have none; repeated rows are scanned each. Lineage is cut
-    once, after the scan, in a table that holds the few spans and no text.
+    random holds tokens of 16 characters or more that keep to an encoding's alphabet, that the battery doesn't
+    find structured, and that are discoveries against ordinary tokens at a false-discovery rate of 5 % in
+    their encoding and length band, where they overlap no base span. Null and empty texts have none; each row
+    is scanned by its own text, whatever its doc_id. Nothing but distinct tokens is shuffled.
     """
-    return _found(docs).drop(ROW)
+    return Scanner(docs).spans(docs, "doc_id")
 
 
 def listed(*kinds: str) -> Column:
@@ -182,30 +242,38 @@ def listed(*kinds: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.concat(*each)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every secret span replaced by [SECRET]; overlapping spans by one mark, n_chars in step.
-
-    Each row loses the spans of its own text, whatever its doc_id.
-    """
-    spans = F.concat("assign", "access", "hex", "random")
-    found = _found(docs).select(ROW, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(SPANS))
-    found = found.where(F.size(SPANS) > 0).dropDuplicates([ROW])
-    joined = docs.withColumn(ROW, row_key()).join(found, ROW, "left")
+def _redacted(text: Column, spans: Column) -> Column:
+    """text with a mark for each run of overlapping spans; spans by start. Pieces gather in pages, as in matches."""
 
     def step(a: Column, s: Column) -> Column:
         # Text up to the span, then one mark; a span inside what is covered only moves the end.
-        fresh = s["start"] >= a["at"]
-        said = F.when(fresh, F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("[SECRET]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), said.alias("out"))
+        one = F.array(F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MARK)))
+        full = F.size(a["page"]) >= PAGE
+        at = F.greatest(a["at"], s["end"]).alias("at")
+        grown = F.struct(at, F.when(full, one).otherwise(F.concat(a["page"], one)).alias("page"), F.when(full, F.concat(a["pages"], F.array(F.array_join(a["page"], "")))).otherwise(a["pages"]).alias("pages"))
+        return F.when(s["start"] >= a["at"], grown).otherwise(F.struct(at, a["page"].alias("page"), a["pages"].alias("pages")))
 
-    text = F.aggregate(SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col(SPANS).isNotNull(), text).otherwise(F.col("text")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("page"), F.array().cast("array<string>").alias("pages"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["pages"], ""), F.array_join(a["page"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """docs with every secret span replaced by [SECRET]; overlapping spans by one mark, n_chars in step.
+
+    Each row loses the spans of its own text, in the row itself, whatever its doc_id. Null texts stay null.
+    """
+    every = F.concat(*(F.col(kind) for kind, *_ in KINDS), F.col(RANDOM))
+    found = Scanner(docs).spans(docs, F.struct(*docs.columns).alias("row"), "text")
+    found = found.select("row", F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+    found = found.withColumn("text", F.when(F.size("spans") > 0, _redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*((own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_secrets over all documents: counts, digest and list of the spans."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed("assign", "access", "hex"), 256).alias("base_sha256"), listed("assign", "access", "hex", RANDOM).alias("spans"))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), n(RANDOM), F.sha2(listed("assign", "access", "hex"), 256).alias("base_sha256"), listed("assign", "access", "hex", RANDOM).alias("spans"))
