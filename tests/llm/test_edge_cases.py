@@ -444,6 +444,14 @@ def test_mixing(spark, docs, none):
     assert share["web"] > share["news"] > share["books"] > share["forum"]
 
 
+def test_mixing_beyond_the_broadcast(spark, docs, monkeypatch):
+    clash = docs.withColumns({"of_domain": F.lit("x"), "row": F.lit("y"), "copies": F.lit("z"), "tokens": F.lit("t")})
+    want = sorted((str(r.doc_id), r.copies) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    got = mixing.mix(clash)
+    assert sorted((str(r.doc_id), r.copies) for r in got.collect()) == want and {r.tokens for r in got.collect()} == {"t"}
+
+
 def test_water_fill_gives_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("news", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
     plan = {r.source: r.budget for r in mixing.budgets(leaves, weights={"domain": {"web": 1.0, "news": 1.0}}, share=0.4, epochs=1).collect()}

@@ -15,6 +15,8 @@ LEVELS = ("domain", "lang", "source")
 DOMAINS = ("web", "news", "books", "forum")
 WEIGHTS = {"domain": {"web": 4.0, "news": 3.0, "books": 2.0, "forum": 1.0}, "lang": {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 1.0}}
 SHARE, EPOCHS, SEED = 0.6, 2, "mix"
+#: Leaves of the tree up to which their plan is broadcast, a row of some 100 bytes each.
+BROADCAST_LEAVES = 1 << 16
 #: Hexadecimal digits of the order key that make a cell: 65,536 of them to a leaf, however many documents it has.
 CELL = 4
 
@@ -26,7 +28,7 @@ def domain_of(source: Column) -> Column:
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
-    own = weights.get(level) or weights.get(level.removeprefix("__")) or {}
+    own = weights.get(level) or {}
     chosen = F.lit(1.0)
     for name, w in sorted(own.items()):
         chosen = F.when(F.col(level) == name, F.lit(float(w))).otherwise(chosen)
@@ -73,6 +75,17 @@ def order_key(epoch: Column, doc_id: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _meet(docs: DataFrame, plan: DataFrame, by: Sequence[str], leaves: int) -> DataFrame:
+    """docs with their row of a plan that has one row a leaf.
+
+    A leaf may have a third of all documents. Up to BROADCAST_LEAVES the plan travels and documents stay; beyond,
+    both are dealt by leaf, and an exchange by row follows, so that a skewed partition of the join can be split.
+    """
+    if leaves <= BROADCAST_LEAVES:
+        return docs.join(F.broadcast(plan), list(by))
+    return docs.join(plan, list(by)).repartition(*by, F.xxhash64("doc_id"))
+
+
 def leaf_plan(counted: DataFrame, levels: Sequence[str], seed: str, **budget: object) -> DataFrame:
     """levels, budget, epoch, cut of each leaf: the pass after the whole ones takes the keys up to cut.
 
@@ -81,12 +94,13 @@ def leaf_plan(counted: DataFrame, levels: Sequence[str], seed: str, **budget: ob
     """
     levels = list(levels)
     plan = written(budgets(counted.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), levels, **budget), "budgets")
-    keyed = counted.join(plan.drop("tokens"), levels).withColumn("key", order_key(F.col("epoch"), F.col("doc_id"), seed)).withColumn("cell", F.substring("key", 1, CELL))
+    leaves = plan.count()
+    keyed = _meet(counted, plan.drop("tokens"), levels, leaves).withColumn("key", order_key(F.col("epoch"), F.col("doc_id"), seed)).withColumn("cell", F.substring("key", 1, CELL))
     cells = keyed.groupBy(*levels, "rest", "cell").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("cell"))
     crossed = cells.withColumn("upto", upto).where("upto > rest").withColumn("at", F.row_number().over(Window.partitionBy(*levels).orderBy("cell"))).where("at = 1")
     crossed = crossed.select(*levels, "cell", (F.col("upto") - F.col("tokens")).alias("before"))
-    inside = keyed.join(crossed, [*levels, "cell"])
+    inside = _meet(keyed, crossed, [*levels, "cell"], leaves)
     so_far = F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels, "cell").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("so_far", so_far).where("so_far <= rest").groupBy(*levels).agg(F.max("key").alias("last"))
     # A leaf without a crossing takes its whole pass; one whose cell has no fitting document stops before the cell.
@@ -94,19 +108,18 @@ def leaf_plan(counted: DataFrame, levels: Sequence[str], seed: str, **budget: ob
     return plan.join(crossed.drop("before"), levels, "left").join(last, levels, "left").select(*levels, "budget", "epoch", cut.alias("cut"))
 
 
-def _leveled(docs: DataFrame, domain: Column) -> DataFrame:
-    """docs with the levels under names of their own, never null."""
-    return docs.withColumns({"__domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
+LEVEL_NAMES = ["of_domain", "of_lang", "of_source"]
 
 
 def _mixed(docs: DataFrame, domain: Column | None = None, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    held = _leveled(docs, domain if domain is not None else domain_of(F.col("source")))
-    levels = ["__domain", "__lang", "__source"]
-    counted = written(held.select("doc_id", *levels, F.size(words(F.col("text"))).cast("long").alias("tokens")), "tokens")
-    plan = written(leaf_plan(counted, levels, seed, weights=weights, share=share, epochs=epochs), "mix")
-    met = held.join(plan.select(*levels, F.col("epoch").alias("__epoch"), F.col("cut").alias("__cut")), levels)
-    again = (order_key(F.col("__epoch"), F.col("doc_id"), seed) <= F.col("__cut")).cast("long")
-    return met.select(*docs.columns, "__domain", (F.col("__epoch") + again).alias("__copies"))
+    """row (struct of the columns of docs), of_domain and copies of every row."""
+    named = dict(zip(LEVEL_NAMES, (domain if domain is not None else domain_of(F.col("source")), F.col("lang"), F.col("source")), strict=True))
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.size(words(F.col("text"))).cast("long").alias("tokens"), *(F.coalesce(c, F.lit("")).alias(name) for name, c in named.items()))
+    counted = written(held.drop("row"), "tokens")
+    plan = written(leaf_plan(counted, LEVEL_NAMES, seed, weights={level: weights.get(level.removeprefix("of_"), {}) for level in LEVEL_NAMES}, share=share, epochs=epochs), "mix")
+    met = _meet(held.drop("tokens"), plan.drop("budget"), LEVEL_NAMES, plan.count())
+    again = (order_key(F.col("epoch"), F.col("doc_id"), seed) <= F.col("cut")).cast("long")
+    return met.select("row", "of_domain", (F.col("epoch") + again).alias("copies"))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
@@ -114,19 +127,20 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 
     Tokens are words of whole texts. A leaf gets its whole passes and, of the next seeded order, the longest
     prefix of documents that its rest holds; rows of one doc_id go together. A leaf without tokens is in once.
-    Null levels count as '', null texts have no tokens. Texts aren't shuffled: documents meet a plan of one row
-    a leaf. Columns of docs with the two new names are replaced.
+    Null levels count as '', null texts have no tokens. Columns of docs with the two new names are replaced.
     """
-    return _mixed(docs, **options).drop("mix_domain", "copies").withColumnsRenamed({"__domain": "mix_domain", "__copies": "copies"})
+    own = [c for c in docs.columns if c not in ("mix_domain", "copies")]
+    return _mixed(docs, **options).select(*(F.col("row")[c].alias(c) for c in own), F.col("of_domain").alias("mix_domain"), "copies")
 
 
 def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, each as often as the mixture has it."""
-    mixed = _mixed(docs, **options).where("__copies > 0")
-    return mixed.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    mixed = _mixed(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix over all documents: the copies of each in the mixture. Tokens are white-space words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return mix(docs).select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", "copies")
 

@@ -106,7 +106,10 @@ def _numbers(x: list[float]) -> Column:
 
 
 class Ordinary:
-    """How ordinary tokens of each encoding run: their classes by CLASSES, their letters by the pairs of the corpus's own words."""
+    """How ordinary tokens of each encoding run: their classes by CLASSES, their letters by pairs in the corpus's own long words.
+
+    Those are the distinct tokens that are one word by their case, so random keys don't teach it.
+    """
 
     def __init__(self, pairs: dict[str, int]):
         said = [x / sum(LETTERS) for x in LETTERS]
@@ -196,7 +199,7 @@ class Scanner:
     def __init__(self, docs: DataFrame):
         text = F.coalesce("text", F.lit(""))
         hits = written(docs.where(F.col("text").rlike(TOKEN)).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), 0))).alias("hit")).distinct(), "tokens")
-        runs = hits.where(F.col("hit").rlike("^[A-Za-z]+$")).select(F.explode(F.regexp_extract_all("hit", F.lit("[a-z]{5,}|[A-Z]{5,}"), 0)).alias("run"))
+        runs = hits.where(F.col("hit").rlike("^(?:[A-Z]?[a-z]+|[A-Z]+)$")).select(F.explode(F.regexp_extract_all("hit", F.lit("[a-z]{5,}|[A-Z]{5,}"), 0)).alias("run"))
         pairs = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.lower(F.substring(F.col("run"), i, F.lit(2))))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
         self.ordinary = Ordinary({r["pair"]: r["n"] for r in pairs.collect()})  # 676 pairs at most
         self.cuts = cutoffs(hits.select(battery(F.col("hit"), self.ordinary).alias("b")))
