@@ -313,6 +313,15 @@ def test_bpe_blocks_close(spark, monkeypatch):
     assert len(made) == 20
 
 
+def test_bpe_reassembles_across_blocks(spark):
+    texts = [prose(12, i % 7) for i in range(20)]
+    enc = byte_bpe.encoding(byte_bpe.read_vocabulary())
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(d).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bpe_")]
+
+
 PAGES = "page_id long, url string, html string, k string, host string"
 
 

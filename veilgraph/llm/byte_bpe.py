@@ -101,10 +101,14 @@ def _code(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _encode(tokens: list[bytes], pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(block, at, word) to packed (block, ats, sizes, ids); all rows of a word are in one partition, so each is encoded once."""
+    """(block, at, word), words in order, to packed (block, ats, sizes, ids).
+
+    All rows of a word are in one partition and follow one another, so each is encoded once and only the last
+    is held, however many words there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, held, n = encoding(tokens, pattern).encode_ordinary, {}, {}, 0
+        encode, last, ids, held, n = encoding(tokens, pattern).encode_ordinary, None, (), {}, 0
 
         def flush() -> pa.RecordBatch:
             packs = [(b, _packed(np.array(ats)), _packed(np.fromiter(map(len, ids), "u4", len(ids))), _packed(np.array([i for x in ids for i in x], "u4"))) for b, (ats, ids) in held.items()]
@@ -112,9 +116,8 @@ def _encode(tokens: list[bytes], pattern: str) -> Callable[[Iterator[pa.RecordBa
 
         for batch in batches:
             for b, i, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = tuple(encode(w))
+                if w != last:
+                    last, ids = w, tuple(encode(w))
                 ats, all_ids = held.setdefault(b, ([], []))
                 ats.append(i)
                 all_ids.append(ids)
@@ -189,11 +192,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, emit
     docs.select("doc_id", "text").mapInArrow(_code(pattern), BLOCKS).write.bucketBy(n, "block").option("path", place).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    packs = words.repartition(n, "word").mapInArrow(_encode(tokens, pattern), "block long, ats binary, sizes binary, ids binary")
+    packs = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(tokens, pattern), "block long, ats binary, sizes binary, ids binary")
     packs = packs.groupBy("block").agg(F.collect_list(F.struct("ats", "sizes", "ids")).alias("packs"))
     met = blocks.select("block", "doc_ids", "lengths", "codes").join(packs, "block", "left").drop("block")
     schema = {"ids": "doc_id long, ids array<int>", "digests": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"}[emit]
-    return met.mapInArrow(_reassemble(tokens, emit), schema)
+    out = met.mapInArrow(_reassemble(tokens, emit), schema)
+    out.columns  # resolved; the plan keeps to the files from here on
+    spark.sql(f"DROP TABLE {name}")  # the entry alone: the files are outside the warehouse and go when the driver ends
+    return out
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -212,4 +218,5 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op7_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode over all documents: sizes and digests of the ids and of what they decode to."""
     return encode(table(spark, sf_dir, "documents"), emit="digests")
