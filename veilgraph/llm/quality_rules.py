@@ -136,8 +136,8 @@ def apply_quality(docs: DataFrame, host: str = "source", **limits: float) -> Dat
     """
     lost = lost_lines(docs, host, **limits)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", _host(host).alias("host"), _mark(_lines(F.col("text"))).alias("mark"))
-    # A filter isn't moved below the id, where it would repeat the higher-order functions that make the verdict.
-    based = base_counts(keyed, "row", "host", "mark").withColumn("id", F.monotonically_increasing_id()).where(~F.col("base_failed"))
+    # A table, as a filter on the verdict would be moved into the higher-order functions that make it and repeat them.
+    based = written(base_counts(keyed, "row", "host", "mark"), "based").where(~F.col("base_failed"))
     few = (lost.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES
     met = based.join(F.broadcast(lost) if few else lost, ["host", "mark"], "left").fillna(0, ["n_frequent_words", "n_frequent_lines"]).where(~_depleted())
     lines = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))))
