@@ -385,6 +385,10 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[2].turns] == [("we|ird>\n%", "t")] and [(t.role, t.text) for t in got[None].turns] == [("", "")]
     assert [t.text for t in got[3].turns] == ["a", "b", "b"]
     assert not re.search(r"\[/?INST\]|</s>", got[1].formatted)
+    assert [m.said for m in got[1].loss_mask] == [t or "" for _, _, r, t, *_ in turns[: len(odd)] if r == "assistant"]
+    for r in got.values():
+        for m in r.loss_mask:
+            assert re.sub(r"([<\[])\\(\\*)(\||/?s>|/?INST\])", r"\1\2\3", r.formatted[m.start : m.end]) == m.said and r.formatted[m.end :].startswith("<|end|>")
     assert chat_format.format_conversations(d.limit(0)).count() == 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spans import matches
 from .common import table
 
 #: What no text may hold unescaped: the marks of this template and of common others. A backslash after the
@@ -49,40 +50,62 @@ def parse_turn(piece: Column) -> Column:
 
 
 def render(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Per turn: its rendered form, plain where the parser gives the source back, else escaped.
+    """Per turn: its rendered form, plain where the parser gives the source back, else escaped; digest of its source.
 
-    Null roles and texts are empty. Escaping is one step away from identity for any text, so the second
-    rendering always parses back; `escaped` tells which one was taken.
+    Null roles and texts are empty. Escaping is one step away from identity for any text: each mark in it gets a
+    backslash that the parser takes off again, so no third rendering is needed; `escaped` tells which one was taken.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     source = F.struct(role.alias("role"), text.alias("text"))
     plain = parse_turn(F.concat(F.lit("<|"), _role(role), F.lit("|>\n"), text)).eqNullSafe(source)
-    return turns.select(conv, order, plain.alias("plain"), role.alias("role"), text.alias("text")).select(
-        conv, order, render_turn(F.col("role"), F.when(F.col("plain"), F.col("text")).otherwise(escape(F.col("text")))).alias("rendered"), (~F.col("plain")).alias("escaped")
+    return turns.select(conv, order, plain.alias("plain"), source.alias("source")).select(
+        conv, order, render_turn(F.col("source.role"), F.when(F.col("plain"), F.col("source.text")).otherwise(escape(F.col("source.text")))).alias("rendered"), (~F.col("plain")).alias("escaped"), _digest(F.col("source")).alias("digest")
     )
 
 
-def format_conversations(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
-    """conv_id, formatted, turns (array of role and text, parsed from formatted) of each conversation.
+def _digest(turn: Column) -> Column:
+    return F.md5(F.concat(turn["role"], F.lit("\n"), turn["text"]).cast("binary"))
 
-    Turns go by `order`, nulls first; ties and repeated rows by their rendered form, each kept. Rows with a
-    null conversation form one of their own. A conversation is one row of the result, so its turns meet in
-    one task; only rendered text is shuffled for that.
+
+def loss_mask(formatted: Column, role: str = "assistant") -> Column:
+    """array<struct<start, end, said>> of the texts of a role in a formatted conversation, in its code points; said is the text unescaped.
+
+    Only marks of turns are unescaped there, so a turn of the role begins where its mark is and ends at the next end.
+    """
+    head = f"<|{role}|>\n"
+    turns = matches(formatted, rf"(?s)<\|{role}\|>\n.*?<\|end\|>\n")
+    size = lambda t: F.length(t["span"]) - len(head) - len(END)
+    body = lambda t: (t["start"] + len(head)).alias("start")
+    return F.transform(turns, lambda t: F.struct(body(t), (t["end"] - len(END)).alias("end"), unescape(F.substring(t["span"], F.lit(len(head) + 1), size(t))).alias("said")))
+
+
+def format_conversations(turns: DataFrame, conv: str = "conv_id", order: str = "turn", loss_role: str = "assistant") -> DataFrame:
+    """conv_id, formatted, turns (array of role and text, parsed from formatted), loss_mask (of loss_mask) of each conversation.
+
+    The turns that the parser recovers from the whole conversation are held against the source by digest; a
+    difference is an error, never a row. Turns go by `order`, nulls first; ties and repeated rows by their
+    rendered form, each kept. Rows with a null conversation form one of their own. A conversation is one row of
+    the result, so its turns meet in one task; only rendered text and digests are shuffled for that.
     """
     whole = (
         render(turns, conv, order)
         .groupBy(conv)
-        .agg(F.sort_array(F.collect_list(F.struct(order, "rendered"))).alias("all"))
-        .select(conv, F.array_join(F.transform("all", lambda t: t["rendered"]), "").alias("formatted"))
+        .agg(F.sort_array(F.collect_list(F.struct(order, "rendered", "digest"))).alias("all"))
+        .select(conv, F.array_join(F.transform("all", lambda t: t["rendered"]), "").alias("formatted"), F.transform("all", lambda t: t["digest"]).alias("digests"))
     )
-    return whole.withColumn("turns", F.transform(F.split(F.regexp_replace("formatted", r"<\|end\|>\n\z", ""), r"<\|end\|>\n"), parse_turn))
+    parsed = F.transform(F.split(F.regexp_replace("formatted", r"<\|end\|>\n\z", ""), r"<\|end\|>\n"), parse_turn)
+    whole = whole.select(conv, "formatted", "digests", parsed.alias("turns"))
+    same = F.coalesce(F.transform("turns", _digest) == F.col("digests"), F.lit(False))
+    told = F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation doesn't parse back to its turns")))
+    return whole.select(conv, "formatted", told.alias("turns"), loss_mask(F.col("formatted"), loss_role).alias("loss_mask"))
 
 
 def op9_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_conversations over all conversations and a planted one: digests of what is read back and of the text under the loss mask."""
     planted = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
     told = format_conversations(turns)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform("loss_mask", lambda m: m["said"]), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return told.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), "formatted").select(
         "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
