@@ -355,6 +355,53 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_url_filters_resolve_targets(spark):
+    links = ["../q", "./q", "http://user@A.org:80/d/q", "https://a.org:443/d/x/../q", "q?x=1#f", "?y", "/../../r", "..", "//b.org", "mailto:x", ""]
+    d = spark.createDataFrame([(i, link) for i, link in enumerate(links)], "i int, link string")
+    got = [r.k for r in d.select("i", url_filters.target_key(F.col("link"), F.lit("a.org"), F.lit("/d/p")).alias("k")).orderBy("i").collect()]
+    assert got == ["a.org/q", "a.org/d/q", "a.org/d/q", "a.org/d/q", "a.org/d/q?x=1", "a.org/d/p?y", "a.org/r", "a.org/", "b.org/", None, None]
+
+
+def test_url_filters_on_random_graphs(spark):
+    r = random.Random(6)
+    hosts = ["plain.org", "shop.org", "x.net", "example.com", "www.example.com", "news.de"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'es', 'fr', 'it', 'de', 'nl'])}/{i}" for i in range(600)]
+    outside = [f"http://gone.net/{x}/{i}" for i, x in enumerate(["es", "fr", "it"] * 5)]
+    canonical, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0;url=%s">'
+    hub, made, edges = urls[0], [], []
+    for i, u in enumerate(urls):
+        to = hub if i % 7 == 0 else r.choice(outside) if i % 23 == 0 else urls[(i + 1) % 600] if i % 11 == 0 else r.choice(urls) if i % 5 == 0 else None
+        made.append((i, u, (r.choice([canonical, refresh]) % to) if to else "<p></p>"))
+        edges += [(u, to)] if to else []
+    parent = {u: u for u in [*urls, *outside]}
+
+    def top(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for a, b in edges:
+        parent[top(a)] = top(b)
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    votes = {}
+    for u in parent:
+        if own(u):
+            votes.setdefault(top(u), set()).add(own(u))
+    voted = lambda u: "allow" if "allow" in votes.get(top(u), ()) else "block" if votes.get(top(u)) else "allow"
+    want = {i: own(u) or voted(u) for i, u, _ in made}
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {x.page_id: x.verdict for x in url_filters.filter_urls(pages).collect()}
+    assert got == want and sum(v == "block" and own(urls[i]) is None for i, v in want.items()) > 5
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.register("pages", pages.toPandas())
+    assert {x[0]: x[4] for x in duckdb.execute(url_filters.OP5_SQL).fetchall()} == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows_ = page_rows()
     pages = spark.createDataFrame(rows_, PAGES)

@@ -21,11 +21,26 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)://[^/?#]*([^?#]*)", 1)
 
 
+def _plain_path(rest: Column) -> Column:
+    """A path with its query, without the segments . and .. in the path."""
+    path, query = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*(.*)\z", 1)
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x)))
+    held = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step, lambda a: F.array_join(a, "/"))
+    ends = F.when(path.rlike(r"/\.\.?\z") & ~held.endswith("/"), "/").otherwise("")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|\z)"), F.concat(held, ends, query)).otherwise(rest)
+
+
+def _key(host: Column, rest: Column) -> Column:
+    """host and rest (path and query) as a key: no user, no usual port, no . or .. segments, / for an empty path."""
+    bare = F.regexp_replace(host, r"^[^@]*@|:(?:80|443)?\z", "")
+    whole = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(bare != "", F.concat(bare, _plain_path(whole)))
+
+
 def url_key(url: Column) -> Column:
     """What names a page in the alias graph: host, path and query, without scheme and fragment; null without a host."""
-    host = url_host(url)
-    rest = F.regexp_extract(url, r"(?s)://[^/?#]*([^#]*)", 1)
-    return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
+    return _key(url_host(url), F.regexp_extract(url, r"(?s)://[^/?#]*([^#]*)", 1))
 
 
 def target_key(link: Column, host: Column, path: Column) -> Column:
@@ -37,9 +52,9 @@ def target_key(link: Column, host: Column, path: Column) -> Column:
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url_key(link))
         .when(link.startswith("//"), url_key(F.concat(F.lit("http:"), link)))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (bare == ""), None)
-        .when(bare.startswith("/"), F.concat(host, bare))
-        .when(bare.startswith("?"), F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), bare))
-        .otherwise(F.concat(host, F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), bare))
+        .when(bare.startswith("/"), _key(host, bare))
+        .when(bare.startswith("?"), _key(host, F.concat(path, bare)))
+        .otherwise(_key(host, F.concat(F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1), bare)))
     )
 
 
@@ -76,9 +91,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """page_id, host, path, rule, verdict, component of every page.
 
     A page's own rule decides first. A page without one takes the decision of its component in the graph of
-    redirects and canonical links: allow if any member's own rule allows, else block if any member's blocks,
-    else default. Null or malformed urls have empty host and path, no rule and no aliases; null html has no
-    links; repeated pages are judged each. component is the least key among the aliases, null without any.
+    redirects and canonical links: allow if any node's own rule allows, else block if any node's blocks, else
+    default. Nodes are judged by their keys, so a link's target votes though it is no row of pages; a key's
+    path is never empty. Null or malformed urls have empty host and path, no rule and no aliases; null html
+    has no links; repeated pages are judged each. component is the least key among the aliases, null without
+    any. Not followed: <base href>, and redirects that only a server's headers tell.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     rule = match_rule(host, path, rules)
@@ -86,8 +103,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     edges = cut(alias_edges(pages.select("url", "html")))
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("component"))
-    classes = connected_components(edges).withColumnRenamed("node", "key")
-    votes = judged.where("own is not null").join(classes, "key").groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allows"))
+    classes = cut(connected_components(edges).withColumnRenamed("node", "key"))
+    said = match_rule(F.regexp_extract("key", r"(?s)^([^/]*)", 1), F.regexp_extract("key", r"(?s)^[^/]*([^?]*)", 1), rules).getField("verdict")
+    votes = classes.select("component", said.alias("own")).where("own is not null").groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allows"))
     decided = classes.join(votes, "component", "left").withColumnRenamed("key", "alias")
     # Pages without a key must not meet in one task of the outer join.
     judged = judged.withColumn("alias", F.coalesce("key", F.concat(F.lit("\u0000"), F.col("page_id").cast("string"))))
@@ -96,6 +114,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filter_urls over all pages by the rules of the contract."""
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -116,8 +135,24 @@ k AS (
   FROM p)
 """
 
-#: For pages without aliases by redirect or canonical link, as the given tables are; test_url_filters covers aliases.
-OP5_SQL = _PARTS + """
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
-FROM k
+#: Components by recursion over absolute links of either kind, in their commonest spelling; relative links, ports, users
+#: and dot segments aren't resolved here (test_url_filters_on_random_graphs covers what the given pages don't have).
+OP5_SQL = _PARTS.replace("WITH p AS", "WITH RECURSIVE p AS") + r""",
+link AS (
+  SELECT key AS a, unnest(regexp_extract_all(html, '(?i)<link rel="canonical" href="([^"]+)"', 1) || regexp_extract_all(html, '(?i)<meta http-equiv="refresh" content="[0-9]+; ?url=([^"]+)"', 1)) AS l
+  FROM k WHERE key IS NOT NULL AND html IS NOT NULL),
+pair AS (
+  SELECT a, translate(regexp_extract(l, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN regexp_extract(l, '://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(l, '://[^/?#]*([^#]*)', 1) END AS b
+  FROM link WHERE l LIKE '%://%'),
+edge AS (SELECT a, b FROM pair WHERE a <> b UNION SELECT b, a FROM pair WHERE a <> b),
+reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT node, b FROM reach JOIN edge ON other = a),
+vote AS (
+  SELECT node, bool_or(host LIKE '%.www.example.com' AND starts_with(path, '/en/') OR host = 'www.example.com' AND starts_with(path, '/en/')
+      OR (host = 'com' OR host LIKE '%.com') AND NOT ((host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/'))) AS allows,
+    bool_or((host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') AND host <> 'www.example.com' AND host NOT LIKE '%.www.example.com'
+      OR (host = 'net' OR host LIKE '%.net') AND (starts_with(path, '/es/') OR starts_with(path, '/fr/'))) AS blocks
+  FROM (SELECT node, regexp_extract(other, '^([^/]*)', 1) AS host, regexp_extract(other, '^[^/]*([^?]*)', 1) AS path FROM reach) GROUP BY node)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END AS verdict
+FROM k LEFT JOIN vote ON k.key = vote.node
 """
