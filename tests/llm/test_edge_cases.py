@@ -490,6 +490,36 @@ def test_toxicity(spark, docs, none):
     assert {x.score for x in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_cosines_by_brute_force(spark):
+    r = random.Random(12)
+    made = [(i, prose(30, i) + (" frobnik" * (1 + i % 2) if i % 4 == 0 else "")) for i in range(300)] + [(400, prose(30, 6)), (401, prose(30, 6) + " frobnik")]
+    r.shuffle(made)
+    d = spark.createDataFrame([*made, made[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(d, labels).collect()}
+    drawn = dict(toxicity.draw_examples(labels)[0])
+    every = [*made, made[0]]
+    df = Counter(w for _, t in every for w in set(toxicity._WORDS(t.lower())))
+
+    def vector(text, keep):
+        tf = Counter(w for w in toxicity._WORDS(text.lower()) if w in keep)
+        v = {w: (1 + np.log(n)) * (np.log((len(every) + 1) / (df[w] + 1)) + 1) for w, n in tf.items()}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    vocabulary = {w for i, t in made if i in drawn for w in toxicity._WORDS(t.lower())}
+    examples = {i: vector(t, vocabulary) for i, t in made if i in drawn}
+    for i, t in made:
+        if "frobnik" in t:
+            assert {e.label for e in got[i].evidence} == {1}
+            continue
+        v = vector(t, vocabulary)
+        cosines = {j: sum(x * e.get(w, 0.0) for w, x in v.items()) for j, e in examples.items()}
+        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[:5]
+        assert np.allclose([e.cosine for e in got[i].evidence], best) and all(np.isclose(cosines[e.doc_id], e.cosine) for e in got[i].evidence)
+    assert all(got[i].predicted == int("frobnik" in t) for i, t in made)
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows()) and {r.copies for r in got} <= {0, 1, 2, 3}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,9 @@ from .common import table, written
 
 #: Labelled examples of each class that are learned from, at most; they, their terms and the index are bounded by it.
 EXAMPLES = 4096
-#: Terms of the vocabulary, at most, and the least association with the label (chi-squared, one degree) and documents.
-TERMS, MIN_CHI2, MIN_DOCS = 4096, 30.0, 5
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 4
+#: What makes a term telling: its association with the label (chi-squared, one degree) and the documents that hold it.
+MIN_CHI2, MIN_DOCS = 30.0, 5
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 8
 #: Beside whole words, their beginnings of these lengths are terms: they find what inflected words share.
 PREFIXES = (4, 5, 6, 7)
 SEED = 7
@@ -64,24 +65,42 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def choose_terms(texts: DataFrame, n1: int, n0: int) -> list[str]:
-    """The terms that the examples of label 1 hold more often, by chi-squared; TERMS of them at most."""
+    """The terms that the examples of label 1 hold more often, by chi-squared; as many as the bounded examples have."""
     counts = texts.select("text", "y").mapInArrow(_example_terms, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0)
     told = counts.where((a + b >= MIN_DOCS) & (a + b < n) & (a * n0 > b * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    return [r["term"] for r in told.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]
+    return sorted(r["term"] for r in told.select("term").collect())
 
 
-def _count_terms(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    at = {t: i for i, t in enumerate(terms)}
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to the distinct words of a task's examples."""
+    words: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0):
+            words.update(_WORDS((text.as_py() or "").lower()))
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+
+COUNTS = "doc_id long, ids array<int>, tfs array<int>, word_ids array<int>, word_tfs array<int>"
+
+
+def _count_terms(terms: list[str], words: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, text) to how often a document has each telling term and each word of the examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {t: i for i, t in enumerate(terms)}
+        word_at = {w: i for i, w in enumerate(words)}
         of_word: dict[str, list[int]] = {}
         for batch in batches:
-            ids, tfs = [], []
+            columns: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 held: Counter = Counter()
+                whole: list[tuple[int, int]] = []
                 for w, n in Counter(_WORDS((text.as_py() or "").lower())).items():
+                    i = word_at.get(w)
+                    if i is not None:
+                        whole.append((i, n))
                     own = of_word.get(w)
                     if own is None:
                         if len(of_word) > 500_000:
@@ -89,14 +108,21 @@ def _count_terms(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         own = of_word[w] = [at[t] for t in terms_of(w) if t in at]
                     for i in own:
                         held[i] += n
-                found = sorted(held.items())
-                ids.append([i for i, _ in found])
-                tfs.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "ids", "tfs"])
+                for found, ids, tfs in ((sorted(held.items()), columns[0], columns[1]), (sorted(whole), columns[2], columns[3])):
+                    ids.append([i for i, _ in found])
+                    tfs.append([n for _, n in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], ["doc_id", "ids", "tfs", "word_ids", "word_tfs"])
 
     return run
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges one after another, and which range each is of."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + (starts - (np.cumsum(sizes) - sizes))[of], of
+
+
 class BlockMaxIndex:
     """Inverted lists of unit TF-IDF vectors in blocks of examples, with the largest weight of each term in each block.
 
@@ -108,16 +134,18 @@ class BlockMaxIndex:
         self.labels, self.doc_ids = np.array(labels, np.int64), np.array(doc_ids, np.int64)
         self.stands_for = np.array([stands_for[y] for y in labels], np.float64)
         self.blocks = max(1, -(-self.n // BLOCK))
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for i, (ids, tfs) in enumerate(vectors):
-            for t, w in zip(ids, self.weights(ids, tfs), strict=True):
-                postings[t].append((i, w))
-        self.who = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p], np.float64) for p in postings]
-        self.most = np.zeros((len(idf), self.blocks))
-        for t, (who, weight) in enumerate(zip(self.who, self.weight, strict=True)):
-            np.maximum.at(self.most[t], who // BLOCK, weight)
-        self.starts = [np.searchsorted(who, np.arange(self.blocks + 1) * BLOCK) for who in self.who]
+        none = np.zeros(0)
+        terms = np.concatenate([none.astype(np.int64), *(np.array(ids, np.int64) for ids, _ in vectors)])
+        who = np.repeat(np.arange(self.n, dtype=np.int32), [len(ids) for ids, _ in vectors]) if self.n else none.astype(np.int32)
+        order = np.argsort(terms, kind="stable")
+        terms, self.who = terms[order], who[order]
+        self.weight = np.concatenate([none, *(self.weights(ids, tfs) for ids, tfs in vectors)])[order]
+        # A run of one term's postings in one block; runs of a term follow one another.
+        block = self.who // BLOCK
+        self.runs = np.flatnonzero(np.diff(terms * self.blocks + block, prepend=-1))
+        self.block, self.run_ends = block[self.runs], np.append(self.runs[1:], len(terms)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, self.runs) if len(terms) else none
+        self.starts = np.searchsorted(terms[self.runs], np.arange(len(idf) + 1))
 
     def weights(self, ids: list[int], tfs: list[int]) -> np.ndarray:
         w = (1 + np.log(np.array(tfs, np.float64))) * self.idf[np.array(ids, np.int64)] if len(ids) else np.zeros(0)
@@ -125,37 +153,27 @@ class BlockMaxIndex:
 
     def search(self, ids: list[int], tfs: list[int], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines, ties to the first."""
-        query = self.weights(ids, tfs)
-        bounds = query @ self.most[ids] if len(ids) else np.zeros(self.blocks)
-        score = np.zeros(self.n)
+        query, at = self.weights(ids, tfs), np.array(ids, np.int64)
+        runs, of = _ranges(self.starts[at], self.starts[at + 1])
+        query = query[of]
+        bounds = np.bincount(self.block[runs], query * self.most[runs], self.blocks)
         # The blocks with the highest bounds first: their k-th cosine tells which others can still matter.
-        first = np.argpartition(-bounds, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
-        self._add(score, ids, query, first)
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bounds, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
+        score = self._cosines(runs, query, first)
         found = self._best(score, k, without)
         kth = score[found[-1]] if len(found) == k else 0.0
-        bounds[first] = 0
-        more = np.flatnonzero((bounds > 0) & (bounds >= kth - 1e-12))
-        if len(more):
-            self._add(score, ids, query, more)
+        more = ~first & (bounds > 0) & (bounds >= kth - 1e-12)
+        if more.any():
+            score += self._cosines(runs, query, more)
             found = self._best(score, k, without)
         return found, score[found]
 
-    def _add(self, score: np.ndarray, ids: list[int], query: np.ndarray, blocks: np.ndarray) -> None:
-        """Adds the blocks' cosines to score; beyond some blocks a list as a whole is read faster than by its parts."""
-        if len(blocks) <= FIRST_BLOCKS:
-            for t, q in zip(ids, query, strict=True):
-                who, weight, starts = self.who[t], self.weight[t], self.starts[t]
-                for b in blocks:
-                    part = slice(starts[b], starts[b + 1])
-                    score[who[part]] += q * weight[part]
-            return
-        own = np.zeros(self.n)
-        for t, q in zip(ids, query, strict=True):
-            own[self.who[t]] += q * self.weight[t]
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        wanted = np.repeat(wanted, BLOCK)[: self.n]
-        score[wanted] = own[wanted]
+    def _cosines(self, runs: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of the examples of these blocks, 0 elsewhere."""
+        own = blocks[self.block[runs]]
+        at, of = _ranges(self.runs[runs[own]], self.run_ends[runs[own]])
+        return np.bincount(self.who[at], query[own][of] * self.weight[at], self.n)
 
     @staticmethod
     def _best(score: np.ndarray, k: int, without: int) -> np.ndarray:
@@ -192,21 +210,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([m[0] for m in merged]), np.array([m[1] for m in merged])
 
 
-class Model:
-    """The index with its calibration, both fitted on the examples alone."""
+class Calibrated:
+    """An index with the share of label 1 that a vote of it means, fitted on the examples `own` alone."""
 
-    def __init__(self, index: BlockMaxIndex, vectors: list[tuple[list[int], list[int]]]):
+    def __init__(self, index: BlockMaxIndex, vectors: list[tuple[list[int], list[int]]], own: list[int]):
         self.index = index
-        votes = [self._raw(ids, tfs, i) for i, (ids, tfs) in enumerate(vectors)]
+        votes = [self._raw(*vectors[i], i) for i in own]
         known = np.array([v is not None for v in votes], bool)
-        y, w = index.labels.astype(float), index.stands_for
-        self.none = self._rate(y[~known], w[~known])
+        y, w = index.labels[own].astype(float), index.stands_for[own]
+        self.none = float((y[~known] * w[~known]).sum() / w[~known].sum()) if (~known).any() else 0.0
         self.edges, self.values = isotonic(np.array([v for v in votes if v is not None]), y[known], w[known]) if known.any() else (np.zeros(0), np.zeros(0))
 
-    @staticmethod
-    def _rate(y: np.ndarray, w: np.ndarray) -> float:
-        return float((y * w).sum() / w.sum()) if len(y) else 0.0
-
     def _raw(self, ids: list[int], tfs: list[int], without: int = -1) -> float | None:
         found, cosines = self.index.search(ids, tfs, without=without)
         return self.index.vote(found, cosines) if len(found) else None
@@ -220,54 +234,74 @@ class Model:
         return float(self.values[max(at, 0)]), evidence
 
 
+class Model:
+    """Two indexes of the same examples: of their telling terms, and of all their words for texts without any of those."""
+
+    def __init__(self, told: list[tuple[list[int], list[int]]], whole: list[tuple[list[int], list[int]]], labels: list[int], doc_ids: list[int], idf: np.ndarray, word_idf: np.ndarray, stands_for: dict[int, float]):
+        every = range(len(labels))
+        self.told = Calibrated(BlockMaxIndex(told, labels, doc_ids, idf, stands_for), told, [i for i in every if len(told[i][0])])
+        self.whole = Calibrated(BlockMaxIndex(whole, labels, doc_ids, word_idf, stands_for), whole, [i for i in every if not len(told[i][0])])
+
+    def score(self, ids: list[int], tfs: list[int], word_ids: list[int], word_tfs: list[int]) -> tuple[float, list[dict]]:
+        return self.told.score(ids, tfs) if len(ids) else self.whole.score(word_ids, word_tfs)
+
+
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list[dict]]] = {}
+        known: dict[bytes, tuple[float, list[dict]]] = {}
         for batch in batches:
             scores, evidence = [], []
-            for ids, tfs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(ids), tuple(tfs))
+            for row in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
+                own = [x.values.to_numpy() for x in row]
+                key = hashlib.blake2b(b"|".join(x.tobytes() for x in (own[:2] if len(own[0]) else own[2:])), digest_size=16, person=b"told" if len(own[0]) else b"whole").digest()
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = model.score(ids, tfs)
-                score, own = known[key]
-                scores.append(score)
-                evidence.append(own)
+                    known[key] = model.score(*own)
+                scores.append(known[key][0])
+                evidence.append(known[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, evidence_type)], ["doc_id", "score", "evidence"])
 
     return run
 
 
+def _idf(counts: DataFrame, ids: str, size: int, n: int) -> np.ndarray:
+    """By the documents of all that have each term; a row a term reaches the driver, in Arrow."""
+    df = np.zeros(size)
+    found = counts.select(F.explode(ids).alias("i")).groupBy("i").agg(F.count("*").alias("n")).toArrow()
+    df[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    return np.log((n + 1) / (df + 1)) + 1
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the five nearest examples: doc_id, label, cosine) of every row.
 
-    Learned from at most EXAMPLES rows a class whose ids aren't held out. The vocabulary is the terms that go
-    with label 1 in them; document frequencies for TF-IDF are of all docs. The vote of the 25 nearest becomes
-    a probability by isotonic regression on the examples, each searched without itself. Null and empty texts,
-    and texts without a term of the vocabulary, get the share of label 1 among such examples. Without a label
-    of either class, or without terms, every score is that share of all examples, 0 if there are none.
+    Learned from at most EXAMPLES rows a class whose ids aren't held out; of an id with several texts the
+    least counts. A text with terms that go with label 1 is searched among the examples by the TF-IDF of those
+    terms, any other by the TF-IDF of all words that the examples have; document frequencies are of all docs. The
+    vote of the 25 nearest becomes a probability by isotonic regression on the examples that are searched the same
+    way, each without itself. Texts without a word of the examples, null and empty ones too, get the share of label 1
+    among such examples. Without a label of either class, every score is 0 or such a share.
     """
     spark = docs.sparkSession
     drawn, stands_for = draw_examples(labels, label)
     sample = spark.createDataFrame(drawn, "doc_id long, y int")  # two classes of EXAMPLES rows at most, so safe to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
+    texts = written(texts, "examples")
     n1, n0 = (sum(y == k for _, y in drawn) for k in (1, 0))
     terms = choose_terms(texts, n1, n0) if n1 and n0 else []
-    counts = written(docs.select("doc_id", "text").mapInArrow(_count_terms(terms), "doc_id long, ids array<int>, tfs array<int>"), "toxicity")
+    words = sorted(texts.select("text").mapInArrow(_example_words, "word string").distinct().toArrow().column("word").to_pylist()) if n1 and n0 else []
+    counts = written(docs.select("doc_id", "text").mapInArrow(_count_terms(terms, words), COUNTS), "toxicity")
     n = counts.count()
-    df = np.zeros(len(terms))
-    for r in counts.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():  # a row a term
-        df[r["i"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    seen = counts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # a row an example
-    vectors = [(r["ids"], r["tfs"]) for r in seen]
-    model = Model(BlockMaxIndex(vectors, [r["y"] for r in seen], [r["doc_id"] for r in seen], idf, stands_for), vectors)
+    seen = texts.select("doc_id", "text").mapInArrow(_count_terms(terms, words), COUNTS).join(F.broadcast(sample), "doc_id").orderBy("doc_id").toArrow().to_pylist()  # a row an example
+    told, whole = [(r["ids"], r["tfs"]) for r in seen], [(r["word_ids"], r["word_tfs"]) for r in seen]
+    model = Model(told, whole, [r["y"] for r in seen], [r["doc_id"] for r in seen], _idf(counts, "ids", len(terms), n), _idf(counts, "word_ids", len(words), n), stands_for)
     scored = counts.mapInArrow(_score(model), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op6_labelled_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    """score_toxicity of all documents by the toxic labels, with the nearest examples as evidence."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
