@@ -19,6 +19,8 @@ EXAMPLES = 4096
 #: What makes a term telling: its association with the label (chi-squared, one degree) and the documents that hold it.
 MIN_CHI2, MIN_DOCS = 30.0, 5
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 8
+#: Blocks are left out if of so many examples' searches the share of blocks read late is below this; results are the same.
+TRIED, WORTH = 64, 0.75
 #: Beside whole words, their beginnings of these lengths are terms: they find what inflected words share.
 PREFIXES = (4, 5, 6, 7)
 SEED = 7
@@ -126,7 +128,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class BlockMaxIndex:
     """Inverted lists of unit TF-IDF vectors in blocks of examples, with the largest weight of each term in each block.
 
-    search() is exact: a block is left out only if the sum of its largest weights can't reach the k-th best.
+    search() is exact, one way or the other: a block is left out only if the sum of its largest weights can't reach the k-th best.
     """
 
     def __init__(self, vectors: list[tuple[list[int], list[int]]], labels: list[int], doc_ids: list[int], idf: np.ndarray, stands_for: dict[int, float]):
@@ -138,7 +140,8 @@ class BlockMaxIndex:
         terms = np.concatenate([none.astype(np.int64), *(np.array(ids, np.int64) for ids, _ in vectors)])
         who = np.repeat(np.arange(self.n, dtype=np.int32), [len(ids) for ids, _ in vectors]) if self.n else none.astype(np.int32)
         order = np.argsort(terms, kind="stable")
-        terms, self.who = terms[order], who[order]
+        terms, self.who = terms[order], who[order].astype(np.intp)
+        self.lists = np.searchsorted(terms, np.arange(len(idf) + 1)).tolist()
         self.weight = np.concatenate([none, *(self.weights(ids, tfs) for ids, tfs in vectors)])[order]
         # A run of one term's postings in one block; runs of a term follow one another.
         block = self.who // BLOCK
@@ -146,6 +149,9 @@ class BlockMaxIndex:
         self.block, self.run_ends = block[self.runs], np.append(self.runs[1:], len(terms)).astype(np.int64)
         self.most = np.maximum.reduceat(self.weight, self.runs) if len(terms) else none
         self.starts = np.searchsorted(terms[self.runs], np.arange(len(idf) + 1))
+        # Texts of many common words leave no block out; then whole lists are read, which is faster than their parts.
+        tried = [self._by_blocks(np.array(ids, np.int64), self.weights(ids, tfs), NEIGHBOURS, -1)[2] for ids, tfs in vectors[:TRIED] if len(ids)]
+        self.prunes = not tried or float(np.mean(tried)) < WORTH
 
     def weights(self, ids: list[int], tfs: list[int]) -> np.ndarray:
         w = (1 + np.log(np.array(tfs, np.float64))) * self.idf[np.array(ids, np.int64)] if len(ids) else np.zeros(0)
@@ -153,9 +159,19 @@ class BlockMaxIndex:
 
     def search(self, ids: list[int], tfs: list[int], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines, ties to the first."""
-        query, at = self.weights(ids, tfs), np.array(ids, np.int64)
+        at, query = np.array(ids, np.int64), self.weights(ids, tfs)
+        if not len(at):
+            return np.zeros(0, np.intp), np.zeros(0)
+        if self.prunes:
+            return self._by_blocks(at, query, k, without)[:2]
+        score = self._all_cosines(at, query)
+        found = self._best(score, k, without)
+        return found, score[found]
+
+    def _by_blocks(self, at: np.ndarray, by_term: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """search, and the share of the blocks with a bound that had to be read after the first."""
         runs, of = _ranges(self.starts[at], self.starts[at + 1])
-        query = query[of]
+        query = by_term[of]
         bounds = np.bincount(self.block[runs], query * self.most[runs], self.blocks)
         # The blocks with the highest bounds first: their k-th cosine tells which others can still matter.
         first = np.zeros(self.blocks, bool)
@@ -167,7 +183,7 @@ class BlockMaxIndex:
         if more.any():
             score += self._cosines(runs, query, more)
             found = self._best(score, k, without)
-        return found, score[found]
+        return found, score[found], more.sum() / max(1, (bounds > 0).sum())
 
     def _cosines(self, runs: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """The cosines of the examples of these blocks, 0 elsewhere."""
@@ -175,6 +191,10 @@ class BlockMaxIndex:
         at, of = _ranges(self.runs[runs[own]], self.run_ends[runs[own]])
         return np.bincount(self.who[at], query[own][of] * self.weight[at], self.n)
 
+    def _all_cosines(self, at: np.ndarray, by_term: np.ndarray) -> np.ndarray:
+        parts = [(slice(self.lists[t], self.lists[t + 1]), q) for t, q in zip(at.tolist(), by_term.tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.who[p] for p, _ in parts]), np.concatenate([self.weight[p] * q for p, q in parts]), self.n)
+
     @staticmethod
     def _best(score: np.ndarray, k: int, without: int) -> np.ndarray:
         if without >= 0:
