@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,19 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="veilgraph-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a reliable checkpoint in the shared folder, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The folder that driver and executors share: the session's checkpoint folder, or one in the warehouse where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veilgraph"
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -51,6 +40,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a table in the shared folder, which survives lost executors and is worked out once."""
+    return written(df, "cut")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
