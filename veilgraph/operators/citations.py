@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,19 +74,19 @@ def signals(docs: DataFrame, runs_: DataFrame, key: str = "doc_id", text: str =
     return told.where("cls is not null")
 
 
-def components(edges: DataFrame, rounds_at_most: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of (src, dst): root is the least node reachable.
 
     Labels take the least of their neighbours' and then their label's own label, so a chain halves each round.
-    Every round is cut by a checkpoint in the cluster's folder (a temporary one where none is set).
+    Every round is cut by a checkpoint in the cluster's folder, or in the warehouse where the session names none.
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilgraph-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veilgraph")
     both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).where("x is not null and y is not null")
     both = both.union(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     labels = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("root")).checkpoint()
-    for _ in range(rounds_at_most):
+    while True:  # a round that moves nothing is the last; labels only fall
         near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(near, "x").select("x", "root", F.least("root", "near").alias("next"))
         jump = step.alias("s").join(labels.select(F.col("x").alias("_x"), F.col("root").alias("_r")), F.col("s.next") == F.col("_x"), "left")
@@ -95,7 +94,6 @@ def components(edges: DataFrame, rounds_at_most: int = 64) -> DataFrame:
         labels = moved.select("x", "root")
         if moved.where("was != root").isEmpty():
             return labels.withColumnRenamed("x", "node")
-    raise RuntimeError("the components didn't settle")
 
 
 def authorities(runs_: DataFrame) -> DataFrame:

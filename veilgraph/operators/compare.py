@@ -43,9 +43,13 @@ def risen_words(versions: DataFrame, key: str, earlier: str, later: str) -> Data
 
 
 def earlier_versions(docs: DataFrame, company: str, date: str, key: str) -> DataFrame:
-    """key, before: for each document the latest one of its company with an earlier date, null without one."""
-    order = Window.partitionBy(company).orderBy(date, key)
-    return docs.withColumn("before", F.lag(key).over(order)).select(key, "before")
+    """key, before: for each document the latest one of its company with an earlier date, null without one.
+
+    Of several on that date it is the one with the largest key. Documents without a date or company have none.
+    """
+    days = docs.groupBy(company, date).agg(F.max(key).alias("last")).where(F.col(company).isNotNull() & F.col(date).isNotNull())
+    before = days.select(company, date, F.lag("last").over(Window.partitionBy(company).orderBy(date)).alias("before"))
+    return docs.select(key, company, date).join(before, [company, date], "left").select(key, "before")
 
 
 def maintain(current: DataFrame, decisions: DataFrame, key: str = "key") -> DataFrame:

@@ -813,7 +813,10 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.maintain(spark.sql(FX_REVIEW), spark.sql("SELECT * FROM (VALUES ('jane', 'masked'), ('acme', 'kept')) AS t(key, status)"))
 
 
-@query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+@query("""
+SELECT o.o_orderkey, arg_max(p.o_orderkey, strftime(p.o_orderdate, '%Y%m%d') || lpad(CAST(p.o_orderkey AS VARCHAR), 20, '0')) AS before
+FROM orders o LEFT JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderdate < o.o_orderdate GROUP BY o.o_orderkey
+""")
 def earlier_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.earlier_versions(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
