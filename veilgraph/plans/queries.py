@@ -673,12 +673,19 @@ def shape_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.shape_regions(spark.sql(FX_SHAPES)).select("span", "tag")
 
 
-FX_VETO = "SELECT * FROM (VALUES ('his wife', 'kinship'), ('elected judge', 'court-official'), ('Supreme Court', 'institutional'), ('Person3', 'tag-word'), ('one two three four five six seven', 'footprint'), ('Jane Roe', NULL)) AS t(span, reason)"
+FX_VETO = "SELECT * FROM (VALUES ('his wife', 'kinship'), ('the family', 'kinship'), ('Czech Republic', 'institutional'), ('the soldiers', 'role-term'), ('elected judge', 'court-official'), ('Supreme Court', 'institutional'), ('Person3', 'tag-word'), ('one two three four five six seven', 'footprint'), ('Jane Roe', NULL)) AS t(span, reason)"
 
 
-@query(f"SELECT span, reason FROM ({FX_VETO})")
+_VETO_CASES = " ".join(f"WHEN regexp_matches(span, {sql_string(re2(p, flags))}) THEN '{reason}'" for reason, p, flags in policies.VETOES)
+
+
+@query(f"""SELECT span, CASE WHEN len(regexp_split_to_array(span, {sql_string(re2(chr(92) + 's+'))})) > {policies.SPAN_WORDS} THEN 'footprint' {_VETO_CASES} END AS reason
+FROM (SELECT span FROM ({FX_VETO}) UNION SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [a-z]+)?')) FROM documents)""")
 def keep_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FX_VETO).select("span", policies.keep_veto(F.col("span")).alias("reason"))
+    """Planted spans and all capitalised words of the documents, each with the word after it."""
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [a-z]+)?"), 0)).alias("span"))
+    every = spark.sql(FX_VETO).select("span").union(found).distinct()
+    return every.select("span", policies.keep_veto(F.col("span")).alias("reason"))
 
 
 @query("SELECT * FROM (VALUES ('Court of Vale''s', 'court', true), ('Acme', 'company', false), ('Vale Org', 'other', false)) AS t(span, label, restored)")

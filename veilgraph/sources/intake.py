@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rx import java
 from ..functions.text import garble_ratio, held
 
+#: Rows of the topics table up to which it is broadcast.
+BROADCAST_TOPICS = 1 << 16
 TEXT_EXTENSIONS = ("txt", "text", "md", "csv", "log", "")
 
 
@@ -86,9 +88,21 @@ def csv_shape(text: Column) -> Column:
 def classify_topics(docs: DataFrame, topics: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, topic: the topic whose keywords are all there often enough, by the greatest sum of hits over least hits.
 
-    topics: topic, keyword, least. They are a small input table; each document is scanned once a keyword.
+    topics: topic, keyword, least (1 or more); of a keyword that a topic has twice the larger least counts. A text is cut
+    into words once and those that are keywords are counted; only keywords of several words, or with other characters,
+    are searched one by one. Topics are broadcast up to BROADCAST_TOPICS rows, which are counted, else joined by word.
     """
-    hits = F.call_function("regexp_count", F.lower(held(F.col(text))), F.concat(F.lit(java(r"\b")), F.lower("keyword"), F.lit(java(r"\b"))))
-    met = docs.select(key, text).crossJoin(F.broadcast(topics)).select(key, "topic", "least", hits.alias("h"))
-    scored = met.groupBy(key, "topic").agg(F.min((F.col("h") >= F.col("least")).cast("int")).alias("all"), F.sum(F.col("h") / F.col("least")).alias("score")).where("all = 1")
+    asked = topics.groupBy("topic", F.lower("keyword").alias("keyword")).agg(F.max("least").alias("least"))
+    needed = asked.groupBy("topic").agg(F.count("*").alias("needed"))
+    plain = F.col("keyword").rlike(r"^[a-z0-9_]+\z")
+    sizes = asked.agg(F.count("*").alias("n"), F.count_if(~plain).alias("phrases")).first()
+    near = F.broadcast if sizes["n"] <= BROADCAST_TOPICS else (lambda d: d)
+    low = F.lower(held(F.col(text)))
+    said = docs.select(key, F.explode(F.split(low, "[^a-z0-9_]+")).alias("keyword"))
+    hits = said.join(near(asked.where(plain)), "keyword").groupBy(key, "topic", "keyword", "least").agg(F.count("*").alias("h"))
+    if sizes["phrases"]:
+        found = F.call_function("regexp_count", low, F.concat(F.lit(java(r"\b")), "keyword", F.lit(java(r"\b"))))
+        hits = hits.unionByName(docs.select(key, text).join(near(asked.where(~plain))).select(key, "topic", "keyword", "least", found.alias("h")))
+    scored = hits.where("h >= least").groupBy(key, "topic").agg(F.count("*").alias("met"), F.sum(F.col("h") / F.col("least")).alias("score"))
+    scored = scored.join(near(needed), "topic").where("met = needed")
     return scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "topic")).alias("b")).select(key, F.col("b.topic").alias("topic"))
