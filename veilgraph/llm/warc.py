@@ -24,19 +24,25 @@ FILE_CHARS = 24_000_000
 FIXED_DATE = "1970-01-01T00:00:00Z"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, sizes = [], []
-        for x in batch.column(2):
-            payload = x.as_py() or b""
-            found.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
-            sizes.append(len(payload))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found)], ["page_id", "url", "payload_bytes", "payload_digest"])
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The digits of Spark's number bases.
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
+def base32_of_hex(c: Column) -> Column:
+    """A 160-bit digest of 40 hex digits in base 32, 40 bits at a time: ten digits become eight."""
+    quarters = (F.lpad(F.conv(F.substring(c, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4))
+    return F.translate(F.concat(*quarters), _DIGITS, _BASE32)
+
+
+def _payload(html: str = "html") -> Column:
+    return F.coalesce(F.col(html).cast("binary"), F.lit(b""))
 
 
 def headers_of(pages: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest of every page; a null html is an empty payload."""
-    return pages.select("page_id", "url", F.col("html").cast("binary")).mapInArrow(_digests, "page_id long, url string, payload_bytes long, payload_digest string")
+    size = F.octet_length(_payload()).cast("long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", size.alias("payload_bytes"), base32_of_hex(F.sha1(_payload())).alias("payload_digest"))
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -79,15 +85,14 @@ def _row_key(digest: Column) -> Column:
     return F.concat_ws("\n", told("page_id"), digest, told("url"))
 
 
-def render(resolved: DataFrame, pages: DataFrame, partitions: int) -> DataFrame:
+def render(resolved: DataFrame, pages: DataFrame, partitions: int, date: str = FIXED_DATE) -> DataFrame:
     """record: the WARC record of each row of pages as text, without its end.
 
     Payloads travel once, by page; every row meets its resolved header there and becomes a response or a
-    revisit, which has no payload but keeps the HTTP header that tells the payload's full length.
+    revisit, which has no payload but keeps the HTTP header that tells the payload's full length. date is that of all records, so that a task that is tried again writes the same.
     """
-    sha = F.upper(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    payloads = pages.select(_row_key(sha).alias("k"), F.coalesce("html", F.lit("")).alias("html")).repartition(partitions, "k")
-    heads = resolved.withColumn("k", _row_key(_hex_of_base32(F.col("payload_digest"))))
+    payloads = pages.select(_row_key(base32_of_hex(F.sha1(_payload()))).alias("k"), F.coalesce("html", F.lit("")).alias("html")).repartition(partitions, "k")
+    heads = resolved.withColumn("k", _row_key(F.col("payload_digest")))
     rows = payloads.join(heads, "k").withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("k")))
     rows = rows.withColumn("kind", F.when(F.col("at") <= F.col("n_response"), "response").otherwise("revisit"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -98,7 +103,7 @@ def render(resolved: DataFrame, pages: DataFrame, partitions: int) -> DataFrame:
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.col("kind")),
         F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("url"))),
-        F.lit(f"WARC-Date: {FIXED_DATE}"),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), _uri(F.col("url"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
@@ -106,7 +111,7 @@ def render(resolved: DataFrame, pages: DataFrame, partitions: int) -> DataFrame:
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("refers_url")))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), _uri(F.col("refers_url")))),
-        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {FIXED_DATE}")),
+        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page-ID: "), _text(F.col("refers_to")))),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
@@ -114,19 +119,7 @@ def render(resolved: DataFrame, pages: DataFrame, partitions: int) -> DataFrame:
     return rows.select(record.alias("record"))
 
 
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def _hex_of_base32(c: Column) -> Column:
-    """The 40 hex digits of 32 base-32 digits: each quarter has 40 bits, eight digits or ten."""
-    def quarter(i: int) -> Column:
-        digits = F.translate(F.substring(c, 8 * i + 1, 8), _BASE32, "0123456789ABCDEFGHIJKLMNOPQRSTUV")
-        return F.lpad(F.conv(digits, 32, 16), 10, "0")
-
-    return F.concat(*(quarter(i) for i in range(4)))
-
-
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = FIXED_DATE) -> None:
     """Deduplicated archives of pages at path, gzip-compressed, some 24 million characters to a file.
 
     Spark's text sink writes them, so a task that is tried again leaves one copy of its archive.
@@ -134,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     size = pages.agg(F.sum(F.length("html").cast("long")).alias("c"), F.count("*").alias("n")).first()
     n = max(1, -(-((size["c"] or 0) + 600 * size["n"]) // FILE_CHARS))
     n = max(n, min(pages.sparkSession.sparkContext.defaultParallelism, size["n"] // 1000 + 1))
-    records = render(resolve_revisits(written(headers_of(pages), "headers"), min_bytes), pages, n)
+    records = render(resolve_revisits(written(headers_of(pages), "headers"), min_bytes), pages, n, date)
     records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
@@ -208,6 +201,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_archives of what write_archives makes of all pages, payloads of any size deduplicated."""
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
     return read_archives(spark, path)
