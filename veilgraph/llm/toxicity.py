@@ -105,7 +105,7 @@ def _count_terms(terms: list[str], words: list[str]) -> Callable[[Iterator[pa.Re
                         whole.append((i, n))
                     own = of_word.get(w)
                     if own is None:
-                        if len(of_word) > 500_000:
+                        if len(of_word) > 100_000:
                             of_word.clear()
                         own = of_word[w] = [at[t] for t in terms_of(w) if t in at]
                     for i in own:
@@ -277,7 +277,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 own = [x.values.to_numpy() for x in row]
                 key = hashlib.blake2b(b"|".join(x.tobytes() for x in (own[:2] if len(own[0]) else own[2:])), digest_size=16, person=b"told" if len(own[0]) else b"whole").digest()
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 10_000:
                         known.clear()
                     known[key] = model.score(*own)
                 scores.append(known[key][0])
