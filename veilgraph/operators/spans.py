@@ -14,16 +14,17 @@ from ..functions.text import base_name, held
 PAGE = 64
 
 
-def matches(text: Column, pattern: str, flags: str = "") -> Column:
+def located(text: Column, rule: Column) -> Column:
     """array<struct<start, end, span>> of the leftmost non-overlapping matches, in code points; none is [].
 
+    rule: a Java pattern, which may differ by row.
+
     Pieces between matches and matches take turns, so a running end gives the offsets, in one fold. Found spans
     gather in pages of PAGE, which keeps the copying of growing arrays down in texts with very many. Patterns
     must not match an empty string.
     """
-    rule = java(pattern, flags)
     kind = "array<struct<start:int,end:int,span:string>>"
-    hits = F.regexp_extract_all(text, F.lit(rule), 0)
+    hits = F.regexp_extract_all(text, rule, 0)
     pairs = F.zip_with(F.split(text, rule, -1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
 
     def step(a: Column, x: Column) -> Column:
@@ -37,7 +38,12 @@ def matches(text: Column, pattern: str, flags: str = "") -> Column:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("page"), F.array().cast(f"array<{kind}>").alias("pages"))
     found = F.aggregate(pairs, start, step, lambda a: F.flatten(F.concat(a["pages"], F.array(a["page"]))))
-    return F.when(text.rlike(rule), found).otherwise(F.array().cast(kind))
+    return F.when(F.rlike(text, rule), found).otherwise(F.array().cast(kind))
+
+
+def matches(text: Column, pattern: str, flags: str = "") -> Column:
+    """located, for one pattern of the rule tables."""
+    return located(text, F.lit(java(pattern, flags)))
 
 
 def find(docs: DataFrame, pattern: str, flags: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:

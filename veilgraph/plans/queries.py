@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import legal as legal_rules
 from ..functions import rules, text
 from ..functions.rx import re2, sql_string
-from ..operators import audit, citations, compare, entities, facets, policies, regions, retrieval, scoring, sequential, spans
+from ..operators import audit, citations, compare, entities, facets, legal, policies, regions, retrieval, scoring, sequential, spans
 from ..sources import intake
 from ..streaming import strip
 
@@ -673,6 +674,73 @@ def shape_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.shape_regions(spark.sql(FX_SHAPES)).select("span", "tag")
 
 
+# --- legal rails ------------------------------------------------------------------------------------------------
+
+#: Planted beside the documents, so that every rail has something to find.
+LEGAL = """SELECT * FROM (VALUES
+ (-1, 'THE FACTS
+The applicant lived in Leeds for three months and worked as a truck driver. His wife, Bo, got 12,500 and two witnesses spoke. It was six months imprisonment, Jan. 3, 2004, thirty (30) days, a 10-day stay, 40,000 shares and 450 grams of heroin. Bo’s brother was in his 40s, 44 years old.'),
+ (-2, 'Application (no. 1520/06) against Poland lodged in 2006. See Kudla v. Poland, no. 30210/96, and 812/03, § 40. The victim told her mother. A mother wept near Court. They went from Leeds in Article 5 to Oslo.'),
+ (-3, 'Chan Chee Yong “Derek” came. DEREK did not, but Derek and the Dereks did, and Der-ek’s friend. The account number ending in 4885 was closed; the 4885 account and 14885 were not. She is known as “Coffey”, and Cof-feys came. ABC-12345-2019 is a code; Roman Catholic and Hokkien.'),
+ (-4, CAST(NULL AS VARCHAR(9))), (-5, '')) AS t(doc_id, text)"""
+
+
+def _legal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.sql(LEGAL))
+
+
+_LD = f"d AS (SELECT doc_id, coalesce(text, '') AS text FROM (SELECT doc_id, text FROM documents UNION ALL {LEGAL}))"
+
+
+def _rule_sql(r: legal_rules.Rule) -> str:
+    cut = f"regexp_extract(m.w, {sql_string(re2(r.pattern, r.flags))}, 1)" if r.last else "m.w"
+    return f"SELECT doc_id, CAST(m.s + length(m.w) - length({cut}) AS INT) AS start, CAST(m.s + length(m.w) AS INT) AS \"end\", {cut} AS span, '{r.tag}' AS tag, '{r.pack}' AS rail FROM (SELECT doc_id, unnest({_spans_sql('text', r.pattern, r.flags)}) AS m FROM d)"
+
+
+@query(f"WITH {_LD} " + " UNION ".join(_rule_sql(r) for r in legal_rules.PACKS))
+def legal_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pack that asks nothing of its surroundings, over the documents and planted ones."""
+    return legal.shapes(_legal_docs(spark, sf_dir), tuple({r.pack for r in legal_rules.PACKS}), protect=False)
+
+
+def _guarded_sql() -> str:
+    say = lambda p, flags="": sql_string(re2(p, flags))
+    of = {r.pack: r for r in legal_rules.GUARDED}
+    before = lambda n: f"substr(text, greatest(0, start - {n}) + 1, least({n}, start))"
+    places = ", ".join(map(sql_string, legal_rules.NO_PLACE))
+    own, precedent, after = say(legal_rules.OWN_NUMBER, "i"), say(legal_rules.PRECEDENT_BEFORE), say(legal_rules.PRECEDENT_AFTER)
+    return f"""WITH {_LD}, a AS ({_rule_sql(of['app-number'])}), r AS ({_rule_sql(of['relational'])}), p AS ({_rule_sql(of['L9w'])})
+SELECT DISTINCT a.* FROM a JOIN d USING (doc_id) WHERE regexp_matches({before(60)}, {own}) OR NOT (regexp_matches({before(60)}, {precedent}) OR regexp_matches(substr(text, "end" + 1, 6), {after}))
+UNION ALL SELECT DISTINCT r.* FROM r JOIN d USING (doc_id) WHERE regexp_matches({before(30)}, {say(legal_rules.RELATIONAL_ANCHOR, 'i')})
+UNION ALL SELECT DISTINCT p.* FROM p WHERE span NOT IN ({places})"""
+
+
+@query(_guarded_sql())
+def legal_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application numbers that are no precedent's, kin of somebody, and places after a preposition."""
+    return legal.shapes(_legal_docs(spark, sf_dir), ("app-number", "relational", "L9w"), protect=False)
+
+
+def _names_sql() -> str:
+    edge = sql_string(r"\b")
+    nominated = " UNION ".join(
+        f"SELECT doc_id, '{n.rail}' AS rail, '{n.tag}' AS tag, unnest({_found('text', n.pattern, n.flags, 1)}) AS name FROM d" for n in legal_rules.NOMINATORS
+    )
+    stop = ", ".join(map(sql_string, legal_rules.NICKNAME_STOP))
+    tail, gap = sql_string(r"(?:e?s)?(?:[’']s?)?\b"), sql_string("(?:-" + re2(r"\s") + "{0,2})?")
+    rule = f"CASE WHEN tag = '[Id]' THEN {edge} || name || {edge} WHEN length(name) >= 4 THEN {edge} || array_to_string(string_split(name, ''), {gap}) || {tail} ELSE {edge} || name || {tail} END"
+    located = _spans_sql("text", "@").replace(sql_string("@"), "rule")
+    return f"""WITH {_LD}, n AS (SELECT *, {rule} AS rule FROM ({nominated}) WHERE NOT (rail = 'nickname' AND name IN ({stop}))),
+f AS (SELECT doc_id, tag, rail, unnest({located}) AS m FROM n JOIN d USING (doc_id))
+SELECT DISTINCT doc_id, CAST(m.s AS INT) AS start, CAST(m.s + length(m.w) AS INT) AS "end", m.w AS span, tag, rail FROM f"""
+
+
+@query(_names_sql())
+def legal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and account fragments that a document gives once, wherever else it has them."""
+    return legal.names(_legal_docs(spark, sf_dir), tuple(n.rail for n in legal_rules.NOMINATORS))
+
+
 FX_VETO = "SELECT * FROM (VALUES ('his wife', 'kinship'), ('the family', 'kinship'), ('Czech Republic', 'institutional'), ('the soldiers', 'role-term'), ('elected judge', 'court-official'), ('Supreme Court', 'institutional'), ('Person3', 'tag-word'), ('one two three four five six seven', 'footprint'), ('Jane Roe', NULL)) AS t(span, reason)"
 
 
