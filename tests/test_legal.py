@@ -95,7 +95,7 @@ def test_public_bodies_are_never_touched(spark):
 
 
 def test_guards(spark):
-    text = "An application against Poland lodged under no 1520/06. See Kudla v. Poland, no. 30210/96; 812/03, § 40; and 77/01. The victim told her mother; and far away from all of them a mother wept. A Polish and a Turkish man of Turkey, South Sudan and Poland; a deaf son near the Court of law."
+    text = "An application against Poland lodged under no 1520/06. See Kudla v. Poland, no. 30210/96; 812/03, § 40; and 77/01. The victim told her mother; and far away from all of them a mother wept. A Polish and a Turkish man of Turkey, South Sudan and Poland, and then of no other place at all; a deaf son near the Court of law."
     got = spans(legal.shapes(docs_of(spark, text, None), ("app-number", "relational", "L5-demonym", "L5-state", "L5-kin", "L5-disability", "L4"), STATES, protect=False), "rail", "span")
     assert [s for r, s in got if r == "app-number"] == ["1520/06", "77/01"]
     assert [s for r, s in got if r == "relational"] == ["mother"]
