@@ -130,6 +130,28 @@ def test_what_comes_back(spark):
     assert [value(spark, s, legal.letter_coded) for s in ("TWM v TWN [Mother]", "Roe v Poe [Mother]", "A v B XXX", "A v B")] == [True, False, True, False]
 
 
+def test_federal_captions_and_acronyms(spark):
+    text = "UNITED STATES DISTRICT COURT\nINTERACTIVE BROKERS LLC, a\nMEWBOURNE OIL COMPANY, )\n)\nPlaintiff, )\nRe: BKX Services Inc. et al v. Cadence Vale\nMewbourne’s oil and interactive brokers llc. MBOC is MBOC, and ABC is ABC."
+    got = spans(legal.firm_regions(docs_of(spark, text, None)), "rail", "span")
+    assert [s for r, s in got if r == "acronym"] == ["MBOC", "MBOC"]
+    mine = {s for r, s in got if r == "us-caption"}
+    assert {"MEWBOURNE OIL COMPANY", "MEWBOURNE OIL", "BKX Services Inc", "BKX", "Cadence Vale", "Cadence"} <= mine and "oil" not in mine
+
+
+def test_entities_in_any_case(spark):
+    table = spark.createDataFrame([(0, 1, "Acme Vale,", "COMPANY", "[Company1]"), (0, 2, "acme vale", "BRAND", "[Brand1]"), (0, 3, "x@y.z", "EMAIL", "[Email1]")], "doc_id int, ord int, span string, cls string, tag string")
+    got = spans(legal.entity_occurrences(docs_of(spark, "ACME\nVALE's and Acme Vale, Acme Valet; x@y.z"), table), "span", "tag")
+    assert got == [("ACME\nVALE's", "[Company1]"), ("Acme Vale", "[Company1]")]
+
+
+def test_precedent_stays_but_own_cases_go(spark):
+    text = "They cite Alpha Corp. v. Beta Inc., 598 F.3d 30, 35 (2d Cir. 2010). Beta, 598 F.3d at 36. Gamma, 1 F.3d at 2. Orion LLC v. Delaporte, 12 F.3d 34 (1999). So it was for Orion too."
+    plain = [s for _, s in spans(legal.citation_keeps(docs_of(spark, text)), "start", "span")]
+    assert plain == ["Alpha Corp. v. Beta Inc., 598 F.3d 30, 35 (2d Cir. 2010)", "Beta, 598 F.3d at 36", "Orion LLC v. Delaporte, 12 F.3d 34 (1999)"]
+    docs = docs_of(spark, text).withColumn("own", F.array(F.lit("Orion LLC"), F.lit("Orion"), F.lit("Alpha Corp.")))
+    assert [s for _, s in spans(legal.citation_keeps(docs, names="own"), "start", "span")] == plain[:2]
+
+
 def test_no_pack_of_that_name(spark):
     with pytest.raises(ValueError):
         legal.shapes(docs_of(spark, "x"), ("L99",))

@@ -360,6 +360,118 @@ def surnames(docs: DataFrame, table: DataFrame, key: str = "doc_id", text: str =
     return met.select(key, F.explode(found).alias("m")).select(key, "m.*")
 
 
+# --- a firm's own papers: parties go, precedent stays -----------------------------------------------------------
+
+
+def _folded_rule(name: Column) -> Column:
+    """phrase_rule with a possessive, ignoring case."""
+    return F.concat(F.lit("(?i)"), F.lit(_EDGE), F.array_join(F.transform(F.split(name, java(r"\s+")), quoted), _SPACE + "+"), F.lit(rf"(?:[’']s)?{_EDGE}"))
+
+
+def _caption_name(line: Column) -> Column:
+    """A caption's line as the name of a party; empty if it is none."""
+    s = F.btrim(F.regexp_replace(F.regexp_replace(line, "[)(|]+", " "), java(r"\s+"), " "))
+    for pattern, flags in ((r"^\d{1,2}[.)]\s*", ""), (r"[,;:.\s]+$", ""), (r"\s*,?\s*et\s+al\.?$", "i"), (rules.US_DESCRIPTOR, "i"), (r"[,;:.\s]+$", "")):
+        s = F.regexp_replace(s, java(pattern, flags), "")
+    good = F.length(s).between(3, 70) & ~_has(s, rules.US_VENUE, "i") & s.rlike("^[A-Z0-9]") & s.rlike("[A-Za-z]{2}")
+    return F.when(good, s).otherwise("")
+
+
+def us_parties(text: Column) -> Column:
+    """array<string>: the name nearest above each line that says a role, four lines up at most, and the sides of Re: lines."""
+    zone = F.left(text, F.lit(rules.US_ZONE))
+    lines = F.split(zone, "\n")
+    above = lambda i: F.filter(F.transform(F.reverse(F.slice(lines, F.greatest(F.lit(1), i + 1 - rules.US_LINES), F.least(i, F.lit(rules.US_LINES)))), _caption_name), lambda s: s != "")
+    by_role = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: _has(r["x"], rules.US_ROLE, "i")), lambda r: F.get(above(r["i"]), F.lit(0)))
+    sides = F.filter(F.transform(_groups(zone, rules.US_RE_LINE), lambda x: F.split(x, java(r"\s+v\.?\s+"))), lambda p: F.size(p) > 1)
+    return F.array_distinct(F.filter(F.concat(by_role, F.transform(F.flatten(sides), _caption_name)), lambda s: F.coalesce(s != "", F.lit(False))))
+
+
+def us_captions(text: Column, names: Column) -> Column:
+    """Regions of parties, ignoring case, with and without their legal form, and of words of theirs that the text has as no ordinary word."""
+    forms = F.concat(names, F.transform(names, lambda n: F.btrim(F.regexp_replace(n, java(rules.CORPORATE_END, "i"), ""))))
+    ordinary = F.array_distinct(_groups(text, r"\b[a-z]{3,}\b", 0))
+    words = F.transform(F.flatten(F.transform(names, _words)), lambda w: F.regexp_replace(w, "[^A-Za-z0-9'’]", ""))
+    own = F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike("^[A-Z]") & ~F.lower(w).isin(*rules.IDENTITY_STOP) & ~F.array_contains(ordinary, F.lower(w)))
+    whole = lambda w: F.concat(F.lit(_EDGE), quoted(w), F.lit(rf"(?:[’']s)?{_EDGE}"))
+    return F.concat(propagated(text, F.filter(forms, lambda f: F.length(f) >= 3), _folded_rule), propagated(text, own, whole))
+
+
+def party_acronyms(text: Column, names: Column) -> Column:
+    """Regions of words in capitals, there twice or more, whose letters come in order among those of a party's name."""
+    letters = F.filter(F.transform(names, lambda n: F.upper(F.regexp_replace(n, "[^A-Za-z]", ""))), lambda s: F.length(s) >= 4)
+    said = _groups(text, r"\b[A-Z][A-Z0-9]{2,7}\b", 0)
+    need = lambda a: F.regexp_replace(a, "[^A-Z]", "")
+    twice = lambda a: F.size(F.filter(said, lambda b: a == b)) > 1
+    fits = lambda a: ~a.isin(*rules.ACRONYM_STOP) & (F.length(need(a)) >= 3) & F.exists(letters, lambda s: subsequence(need(a), s))
+    found = F.filter(F.filter(F.array_distinct(said), fits), twice)
+    return propagated(text, found, lambda a: F.concat(F.lit(_EDGE), a, F.lit(rf"(?:[’']s)?{_EDGE}")))
+
+
+def firm_regions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, start, end, span, tag, rail of the parties of federal captions and of their acronyms."""
+    own = docs.select(key, held(F.col(text)).alias("_t")).withColumn("_n", us_parties(F.col("_t")))
+    t, n = F.col("_t"), F.col("_n")
+    return _exploded(own, [_tagged(us_captions(t, n), "[Company]", "us-caption"), _tagged(party_acronyms(t, n), "[Company]", "acronym")], key)
+
+
+def entity_occurrences(docs: DataFrame, table: DataFrame, classes: tuple[str, ...] = ("COMPANY", "BRAND", "PERSON"), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, start, end, span, tag: the table's entities wherever they stand, ignoring case, possessives included; of equal spans the first row's tag.
+
+    table: key, ord, span, cls, tag; a document's rows meet in its own row.
+    """
+    bare = F.regexp_replace(F.btrim(F.regexp_replace("span", r"[’']s?\z", "")), java(r"[,;:.\s]+$"), "")
+    rows = table.where(F.col("cls").isin(*classes)).withColumn("_b", bare).where("length(_b) >= 3")
+    first = rows.groupBy(key, F.lower("_b").alias("low")).agg(F.min(F.struct("ord", F.col("_b").alias("b"), "tag")).alias("f"))
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list("f")).alias("_names"))
+    met = docs.select(key, held(F.col(text)).alias("_t")).join(lists, key)
+    found = F.flatten(F.transform("_names", lambda n: F.transform(located(F.col("_t"), _folded_rule(n["b"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["span"].alias("span"), n["tag"].alias("tag")))))
+    return met.select(key, F.explode(found).alias("m")).select(key, "m.*")
+
+
+def identity_words(c: Column) -> Column:
+    """array<string>: the words of a name that tell it from others, in lower case without a possessive."""
+    low = F.transform(F.split(held(c), "[^A-Za-z0-9'’]+"), lambda w: F.regexp_replace(F.lower(w), r"[’']s\z", ""))
+    return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 3) & ~w.isin(*rules.IDENTITY_STOP)))
+
+
+def precedents(text: Column, identity: Column | None = None) -> Column:
+    """The regions of citations that stay: full ones, and short ones of a case that the document cites in full.
+
+    identity: words of this matter's own parties; a citation that has one of them doesn't stay.
+    """
+    part = lambda m, g: F.regexp_extract(m["span"], java(rules.FULL_CITE), g)
+    shares = lambda c: F.lit(False) if identity is None else F.coalesce(F.arrays_overlap(identity_words(c), identity), F.lit(False))
+    full = F.filter(matches(text, rules.FULL_CITE), lambda m: ~shares(part(m, 1)) & ~shares(part(m, 2)))
+    cited = F.flatten(F.transform(full, lambda m: F.transform(F.concat(F.split(part(m, 1), r"[ \t\n]+"), F.split(part(m, 2), r"[ \t\n]+")), lambda w: F.regexp_replace(w, r"[,.]+\z", ""))))
+    known = _capital(cited, 3)
+    name = lambda m: F.regexp_extract(m["span"], java(rules.SHORT_CITE), 1)
+    short = F.filter(matches(text, rules.SHORT_CITE), lambda m: F.array_contains(known, name(m)) & ~shares(name(m)))
+    return F.concat(full, F.filter(short, lambda m: ~F.exists(full, lambda f: (m["start"] >= f["start"]) & (m["end"] <= f["end"]))))
+
+
+def matter_words(text: Column, names: Column) -> Column:
+    """array<string>: identity words of the names that stand outside citations, or nowhere in the text at all.
+
+    What only citations name is precedent, not this matter.
+    """
+    cites = precedents(text)
+    rule = lambda n: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.array_join(F.transform(F.split(n, java(r"\s+")), quoted), _SPACE + "+"), F.lit("(?![A-Za-z0-9])"))
+    outside = lambda f: F.exists(f, lambda m: ~F.exists(cites, lambda c: (m["start"] >= c["start"]) & (m["end"] <= c["end"])))
+    found = F.transform(F.filter(F.transform(names, F.btrim), lambda n: F.length(n) >= 3), lambda n: F.struct(n.alias("n"), located(text, rule(n)).alias("f")))
+    kept = F.filter(found, lambda x: (F.size(x["f"]) == 0) | outside(x["f"]))
+    return F.array_distinct(F.flatten(F.transform(kept, lambda x: identity_words(x["n"]))))
+
+
+def citation_keeps(docs: DataFrame, key: str = "doc_id", text: str = "text", names: str | None = None) -> DataFrame:
+    """key, start, end, span of the precedent that a document keeps; names: an array column of this matter's parties."""
+    own = docs.select(key, held(F.col(text)).alias("_t"), *([F.col(names).alias("_n")] if names else []))
+    if names:
+        own = own.withColumn("_w", matter_words(F.col("_t"), F.coalesce("_n", F.array().cast("array<string>"))))
+    found = precedents(F.col("_t"), F.col("_w") if names else None)
+    return own.select(key, F.explode(F.array_distinct(found)).alias("m")).select(key, "m.*")
+
+
 # --- what comes back --------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import legal as legal_rules
 from ..functions import rules, text
 from ..functions.rx import re2, sql_string
-from ..operators import audit, citations, compare, entities, facets, legal, policies, regions, retrieval, scoring, sequential, spans
+from ..operators import audit, citations, compare, entities, facets, legal, policies, regions, retrieval, review, scoring, sequential, spans
 from ..sources import intake
 from ..streaming import strip
 
@@ -674,6 +674,81 @@ def shape_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.shape_regions(spark.sql(FX_SHAPES)).select("span", "tag")
 
 
+# --- review -----------------------------------------------------------------------------------------------------
+
+_URLS = """SELECT * FROM (VALUES (-1, 'http://user@LOCALHOST:80/x'), (-2, 'https://[::1]:8443/'), (-3, 'data:text/plain,x'), (-4, 'ipc://x'), (-5, 'no address'), (-6, 'http://a.localhost:3'), (-7, CAST(NULL AS VARCHAR(9)))) AS t(page_id, url)"""
+
+
+@query(f"""WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM (SELECT page_id, url FROM pages UNION ALL {_URLS})),
+a AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', '')) AS h FROM u),
+b AS (SELECT *, regexp_replace(h, ':[0-9]*$', '') AS host, CASE WHEN s = 'http' AND h LIKE '%:80' OR s = 'https' AND h LIKE '%:443' THEN regexp_replace(h, ':[0-9]*$', '') ELSE regexp_replace(h, ':$', '') END AS p FROM a)
+SELECT page_id, CASE WHEN s IN ('blob', 'data', 'about', 'javascript', 'tauri', 'ipc', 'asset') THEN 'app' WHEN host = '' THEN 'offmachine' WHEN host IN ('127.0.0.1', 'localhost', '[::1]', '::1', '0:0:0:0:0:0:0:1') OR host LIKE '%.localhost' THEN 'loopback' ELSE 'offmachine' END AS cls,
+CASE WHEN s IN ('blob', 'data', 'about', 'javascript') THEN 'in-page' WHEN s IN ('tauri', 'ipc', 'asset') THEN s || ':' WHEN host = '' THEN 'unparseable: ' || left(u, 40) ELSE p END AS place FROM b""")
+def net_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an address leaves the machine, by what is written: all pages and planted addresses."""
+    urls = table(spark, sf_dir, "pages").select("page_id", "url").union(spark.sql(_URLS))
+    return urls.select("page_id", review.net_class(F.col("url")).alias("n")).select("page_id", "n.*")
+
+
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n\\s*\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS b,
+list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, CAST(len(CASE WHEN len(b) > 1 THEN b ELSE l END) AS INT) AS n, md5(array_to_string(CASE WHEN len(b) > 1 THEN b ELSE l END, '|')) AS digest FROM p""")
+def paragraph_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "documents").select("doc_id", review.paragraphs(F.col("text")).alias("p"))
+    return cut.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
+def _shape_cases() -> str:
+    return " ".join(f"WHEN regexp_matches(c, {sql_string(re2(p, flags))}) THEN '{name}'" for name, p, flags in review.CONTENT_SHAPES)
+
+
+_CONTENTS = "SELECT * FROM (VALUES (-1, '$1,200'), (-2, '5%'), (-3, '3 May 2004'), (-4, '30 days'), (-5, 'Jane Roe'), (-6, '12345-AB'), (-7, 'the Big thing'), (-8, '12.5'), (-9, '')) AS t(doc_id, c)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents UNION ALL {_CONTENTS}),
+n AS (SELECT doc_id, trim(regexp_replace(c, {sql_string(re2(chr(92) + 's+'))}, ' ', 'g')) AS c FROM l)
+SELECT shape, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, CASE WHEN length(c) > 300 THEN 'long_passage' {_shape_cases()} WHEN regexp_matches(c, '[A-Z][a-z]') AND len(string_split(c, ' ')) <= 6 THEN 'short_phrase' ELSE 'other_text' END AS shape FROM n) GROUP BY shape""")
+def content_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents, and planted passages, by shape."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("c")).union(spark.sql(_CONTENTS))
+    return lines.select("doc_id", review.content_shape(F.col("c")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("""SELECT source, count(*) AS total, count(*) FILTER (toxic = 0 AND quality = 1) AS decided, count(*) FILTER (toxic = 1) AS waiting, count(*) FILTER (toxic = 0 AND quality <> 1) AS standing
+FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source; a toxic one waits, one of quality is decided."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return review.tally(rows.select("source", F.when(F.col("toxic") == 1, "pending").alias("status"), (F.col("quality") == 1).alias("decided")), "source")
+
+
+@query(f"{_TABLE}, s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._-]+@[A-Za-z0-9.]+|[A-Z][a-z]+')) AS span FROM documents) SELECT s.doc_id, s.span FROM s WHERE NOT EXISTS (SELECT 1 FROM et WHERE et.doc_id = s.doc_id AND lower(et.span) = lower(s.span))")
+def live_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words and address-like ones that the entity table doesn't cover."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._-]+@[A-Za-z0-9.]+|[A-Z][a-z]+"), 0)).alias("span")).distinct()
+    return review.live_suspects(found, entity_table(spark, sf_dir))
+
+
+@query(f"""{_TABLE}, n AS (SELECT et.*, source FROM et JOIN documents USING (doc_id))
+SELECT lower(span) AS low, cls, count(DISTINCT doc_id) AS n_docs FROM n GROUP BY 1, 2 HAVING bool_or(contains(lower(span), 'an') OR contains(lower(source), 'an'))""")
+def find_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with "an" in their text, or in the name of a source that has them."""
+    named = entity_table(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return review.search(named, "an", "source")
+
+
+_LETTERS = """SELECT * FROM (VALUES (-1, 'Case : Roe v Poe
+COURT: High Court
+Date:2004'), (-2, 'matter: Vale lease
+Doc: Memo'), (-3, CAST(NULL AS VARCHAR(9)))) AS t(doc_id, text)"""
+
+
+@query("SELECT doc_id, " + ", ".join(f"nullif(trim(regexp_extract(coalesce(text, ''), '(?im)^{n}[ \\t]*:[ \\t]*([^\\n]+)', 1)), '') AS \"{n}\"" for n in review.HEADERS) + f" FROM (SELECT doc_id, text FROM documents UNION ALL {_LETTERS})")
+def document_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.sql(_LETTERS))
+    return docs.select("doc_id", review.headers(F.col("text")).alias("h")).select("doc_id", "h.*")
+
+
 # --- legal rails ------------------------------------------------------------------------------------------------
 
 #: Planted beside the documents, so that every rail has something to find.
