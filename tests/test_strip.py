@@ -1,5 +1,11 @@
+from urllib.parse import urlsplit
+
+from pyspark.sql import functions as F
+
+from veilgraph.functions import text
 from veilgraph.operators import policies
 from veilgraph.plans import strip
+from veilgraph.streaming import strip as floor
 
 TEXT = "Ms Jane Roe of Acme Vale Ltd. was born on 3 May 1970. On 3 May 1970 and in June 2001 she wrote to jane@roe.org. The Court of 4 July 2003 sat. Jane Roe, call (202) 274-2000."
 
@@ -32,3 +38,15 @@ def test_legal_strip_gives_back_and_protects(spark):
     got = {r.doc_id: r.masked for r in strip.legal_strip(docs, table, labels).collect()}
     assert "Acme Vale Ltd." in got[1] and "The Court of 4 July 2003" in got[1] and "3 May 1970" not in got[1] and "Jane Roe" not in got[1]
     assert got[2] is None and got[3] == ""
+
+
+def test_floor_stream_leaves_rows_in_the_shared_folder(spark, tmp_path):
+    docs_of(spark).repartition(3).write.parquet(str(tmp_path / "docs.parquet"))
+    docs_of(spark).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = next(p for p in (tmp_path / "one").iterdir() if p.suffix == ".parquet")
+    shared = urlsplit(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).path
+    for path in (str(tmp_path / "docs.parquet"), str(one)):
+        got = floor.floor_stream(spark, path)
+        assert got.inputFiles() and all(urlsplit(f).path.startswith(shared) for f in got.inputFiles()), "no row is gathered in the driver"
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in docs_of(spark).select("doc_id", text.floor_mask(F.col("text"))).collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("floor_")], "no table in the driver's memory"
