@@ -1,6 +1,7 @@
 """Invariants of the operators on made-up and random inputs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,23 @@ def test_suspicion_has_the_features_of_the_reference(spark):
     for r in spans.suspicion(docs, spans.SUSPICIOUS).collect():
         got[r.doc_id][r.span] = r.score
     assert got == dict(enumerate(told.values()))
+
+
+def test_suspicion_takes_no_text_along(spark):
+    filler = "and the lot 12 " * 5000
+    rows = [(1, filler + "Dr Roe, AB1234 and ab1234 of [Person1] Vale"), (2, None), (3, "Mr" + " " * 21 + "Hale Mr" + " " * 23 + "Pike"), (4, "inc."), (5, "../Mr. O'Neil _Mr._ Berg")]
+    found = spans.suspicion(spark.createDataFrame(rows, "doc_id int, text string"), spans.SUSPICIOUS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("," not in kept for kept in re.findall(r"Generate explode\(.*\), \[([^\]]*)\], false", plan)) and "Generate explode" in plan, "the text would be copied for every token"
+    got = {(r.doc_id, r.span, r.score, r["rank"]) for r in found.collect()}
+    assert got == {(1, "Roe", 2, 1), (1, "AB1234", 2, 2), (3, "Hale", 2, 1), (4, "inc", 2, 1), (5, "O'Neil", 3, 1)}
+
+
+def test_floor_mask_leaves_no_rule_out(spark):
+    texts = ["a@b.org", "S1234567D", "1 2-3.4 5 6 7 8 9 0 1 2 3", "+65 6123 4567", "81234567", "123456789", "1 2 3", "x@y", "a@b.org 4111 1111 1111 1111", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.coalesce("t", F.lit(""))
+    for pattern, flags, mark in rules.FLOOR:
+        plain = text.replace_all(plain, pattern, mark, flags)
+    got = d.select(text.floor_mask(F.col("t")).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and [r.got for r in got][:6] == ["[email]", "[nric]", "[card]", "[phone]", "[phone]", "[number]"]

@@ -10,6 +10,8 @@ FLOOR = (
     (r"(?:\+?65[\s-]?)?[689]\d{3}[\s-]?\d{4}\b", "", "[phone]"),
     (r"\b\d{9,16}\b", "", "[number]"),
 )
+#: What every match of each rule of the floor holds, and no mark does.
+FLOOR_NEEDS = ("@", *[r"[0-9](?:[ .-]?[0-9]){3}"] * 4)
 
 EMAIL = FLOOR[0][0]
 URL = r"""(?:https?://|www\.)[^\s"'<>()]+|\b(?:[a-z0-9][a-z0-9-]*\.)+(?:com(?:\.sg|\.au)?|co\.uk|com|net|org|io|sg|biz)\b"""

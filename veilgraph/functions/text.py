@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +33,16 @@ def fold_fullwidth(text: Column) -> Column:
 
 
 def floor_mask(text: Column) -> Column:
-    """Structured identifiers to marks, each rule over what the last one left."""
-    text = held(text)
-    for pattern, flags, mark in rules.FLOOR:
-        text = replace_all(text, pattern, mark, flags)
+    """Structured identifiers to marks, each rule over what the last one left.
+
+    Rules are left out for texts without what all their matches hold; no mark holds it, so the given text tells.
+    """
+    whole = text = held(text)
+    for needs, rows in groupby(zip(rules.FLOOR, rules.FLOOR_NEEDS, strict=True), itemgetter(1)):
+        masked = text
+        for (pattern, flags, mark), _ in rows:
+            masked = replace_all(masked, pattern, mark, flags)
+        text = F.when(whole.rlike(needs), masked).otherwise(text)
     return text
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,10 +104,44 @@ def suspicion(docs: DataFrame, features: tuple = (), threshold: int = 2, most: i
 
     features: (name, weight, token pattern, pattern of the 24 characters before or None). The best score of a
     base name, ignoring case, counts; ties go by place in the text. `most` a document is the operator's own list length.
+    Only tokens that some feature fits leave their text, each with its own 24 characters and not with the text.
     """
-    token = r"[A-Za-z0-9][A-Za-z0-9.'’_/-]*"
-    found = docs.select(key, held(F.col(text)).alias("t")).select(key, "t", F.explode(matches(F.col("t"), token)).alias("m"))
-    found = found.select(key, F.col("m.start").alias("start"), F.col("m.span").alias("tok"), F.substring(F.col("t"), F.greatest(F.lit(0), F.col("m.start") - 24) + 1, F.least(F.lit(24), F.col("m.start"))).alias("before")).where(F.length("tok") >= 3)
+
+    def fits(c: Column, patterns: list[str]) -> Column:
+        """Whether one of the patterns does, as one alternation where none of them refers back to a group."""
+        own = [java(p) for p in dict.fromkeys(patterns)]
+        if any(re.search(r"\\(?:[1-9]|k)", p) for p in own):
+            return reduce(lambda a, b: a | b, [c.rlike(p) for p in own])
+        return c.rlike("|".join(f"(?:{p})" for p in own)) if own else F.lit(False)
+
+    alone = [shape for _, _, shape, ahead in features if not ahead]
+    after = [(shape, ahead) for _, _, shape, ahead in features if ahead]
+
+    def listed(t: Column) -> Column:
+        token = r"[A-Za-z0-9][A-Za-z0-9.'’_/-]*"
+        return F.struct(F.split(t, token, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(token), 0).alias("toks"))
+
+    def paired(s: Column) -> Column:
+        return F.struct(s["gaps"].alias("gaps"), s["toks"].alias("toks"), F.zip_with(s["gaps"], s["toks"], lambda gap, tok: F.concat(gap, tok)).alias("pairs"))
+
+    def suspects(s: Column) -> Column:
+        def before(at: Column) -> Column:
+            # A token and the piece before it are two characters at least, but for an empty piece that begins the text.
+            last = F.slice(s["pairs"], F.greatest(F.lit(1), at - 11), F.least(at, F.lit(12)))
+            return F.right(F.concat(F.array_join(last, ""), F.get(s["gaps"], at)), F.lit(24))
+
+        def may(at: Column) -> Column:
+            tok = F.get(s["toks"], at)
+            return fits(tok, alone) | (fits(tok, [x for x, _ in after]) & fits(before(at), [x for _, x in after]))
+
+        every = F.when(F.size(s["toks"]) > 0, F.sequence(F.lit(0), F.size(s["toks"]) - 1))
+        # Without a feature the score is 0, so below a threshold above it no other token counts.
+        kept = F.filter(every, may) if threshold > 0 else every
+        return F.transform(kept, lambda at: F.struct(at.alias("start"), F.get(s["toks"], at).alias("tok"), before(at).alias("before")))
+
+    # A lambda's argument is worked out once, however often it is used; start is a token's place among the text's tokens.
+    found = F.flatten(F.transform(F.transform(F.transform(F.array(held(F.col(text))), listed), paired), suspects))
+    found = docs.select(key, F.explode(found).alias("m")).select(key, "m.*").where(F.length("tok") >= 3)
     score = F.lit(0)
     for _, weight, shape, ahead in features:
         hit = F.col("tok").rlike(java(shape))
