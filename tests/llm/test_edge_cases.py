@@ -1,11 +1,13 @@
 """Each operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -477,6 +479,28 @@ def test_block_max_search_is_exact():
             assert np.allclose(cosines, best) and np.allclose(want[found], cosines)
 
 
+def test_model_keeps_little_of_an_example():
+    g = np.random.default_rng(5)
+    vectors = [(np.unique(g.integers(0, 300, 120)).astype(np.int32),) for _ in range(1500)]
+    vectors = [(ids, np.ones(len(ids), np.int32)) for (ids,) in vectors]
+    index = toxicity.BlockMaxIndex(vectors, [i % 2 for i in range(1500)], list(range(1500)), np.linspace(1, 4, 300), {0: 1.0, 1: 1.0})
+    index.prunes = False  # as on texts of many common words
+    want = [index.search(*v) for v in vectors[:50]]
+    kept = pickle.loads(sent := pickle.dumps(toxicity.Calibrated(index, vectors, list(range(100)))))
+    assert len(sent) < 16 * sum(len(ids) for ids, _ in vectors), "a place and a weight a posting; no blocks that aren't read"
+    for v, (found, cosines) in zip(vectors[:50], want, strict=True):
+        again = kept.index.search(*v)
+        assert (again[0] == found).all() and (again[1] == cosines).all()
+
+
+def test_vectors_are_views_of_the_columns():
+    rows = [{"a": [3, 5], "b": [1, 2]}, {"a": [], "b": []}, {"a": [4], "b": [9]}, {"a": [1, 2, 7], "b": [1, 1, 3]}]
+    kind = pa.schema([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    for seen in (pa.Table.from_pylist(rows, kind), pa.concat_tables([pa.Table.from_pylist(rows[:1], kind), pa.Table.from_pylist(rows[1:], kind)]), pa.Table.from_pylist(rows, kind).slice(1), kind.empty_table()):
+        got = toxicity._vectors(seen, "a", "b")
+        assert [{"a": a.tolist(), "b": b.tolist()} for a, b in got] == seen.to_pylist() and all(isinstance(x, np.ndarray) and x.base is not None for v in got for x in v)
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(4)
     mean = ["frobnik", "grumbol"]

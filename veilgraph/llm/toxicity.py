@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,8 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
 
 
+#: Each example's terms and how often it has them.
+Vectors = Sequence[tuple[Sequence[int] | np.ndarray, Sequence[int] | np.ndarray]]
 COUNTS = "doc_id long, ids array<int>, tfs array<int>, word_ids array<int>, word_tfs array<int>"
 
 
@@ -131,29 +133,35 @@ class BlockMaxIndex:
     search() is exact, one way or the other: a block is left out only if the sum of its largest weights can't reach the k-th best.
     """
 
-    def __init__(self, vectors: list[tuple[list[int], list[int]]], labels: list[int], doc_ids: list[int], idf: np.ndarray, stands_for: dict[int, float]):
+    def __init__(self, vectors: Vectors, labels: list[int], doc_ids: list[int], idf: np.ndarray, stands_for: dict[int, float]):
         self.idf, self.n = idf, len(vectors)
         self.labels, self.doc_ids = np.array(labels, np.int64), np.array(doc_ids, np.int64)
         self.stands_for = np.array([stands_for[y] for y in labels], np.float64)
         self.blocks = max(1, -(-self.n // BLOCK))
         none = np.zeros(0)
-        terms = np.concatenate([none.astype(np.int64), *(np.array(ids, np.int64) for ids, _ in vectors)])
+        terms = np.concatenate([none.astype(np.int32), *(np.asarray(ids, np.int32) for ids, _ in vectors)])
         who = np.repeat(np.arange(self.n, dtype=np.int32), [len(ids) for ids, _ in vectors]) if self.n else none.astype(np.int32)
         order = np.argsort(terms, kind="stable")
-        terms, self.who = terms[order], who[order].astype(np.intp)
-        self.lists = np.searchsorted(terms, np.arange(len(idf) + 1)).tolist()
+        terms, self.who = terms[order], who[order]
+        every = np.arange(len(idf) + 1, dtype=np.int32)
+        self.lists = np.searchsorted(terms, every)
         self.weight = np.concatenate([none, *(self.weights(ids, tfs) for ids, tfs in vectors)])[order]
         # A run of one term's postings in one block; runs of a term follow one another.
         block = self.who // BLOCK
-        self.runs = np.flatnonzero(np.diff(terms * self.blocks + block, prepend=-1))
+        self.runs = np.flatnonzero(np.diff(terms * np.int64(self.blocks) + block, prepend=-1))
         self.block, self.run_ends = block[self.runs], np.append(self.runs[1:], len(terms)).astype(np.int64)
         self.most = np.maximum.reduceat(self.weight, self.runs) if len(terms) else none
-        self.starts = np.searchsorted(terms[self.runs], np.arange(len(idf) + 1))
+        self.starts = np.searchsorted(terms[self.runs], every)
         # Texts of many common words leave no block out; then whole lists are read, which is faster than their parts.
         tried = [self._by_blocks(np.array(ids, np.int64), self.weights(ids, tfs), NEIGHBOURS, -1)[2] for ids, tfs in vectors[:TRIED] if len(ids)]
         self.prunes = not tried or float(np.mean(tried)) < WORTH
 
-    def weights(self, ids: list[int], tfs: list[int]) -> np.ndarray:
+    def settle(self) -> None:
+        """Lets go of the blocks if none of them would be left out; whole lists are read from then on."""
+        if not self.prunes:
+            del self.runs, self.run_ends, self.block, self.most, self.starts
+
+    def weights(self, ids: Sequence[int] | np.ndarray, tfs: Sequence[int] | np.ndarray) -> np.ndarray:
         w = (1 + np.log(np.array(tfs, np.float64))) * self.idf[np.array(ids, np.int64)] if len(ids) else np.zeros(0)
         return w / (np.sqrt((w * w).sum()) or 1.0)
 
@@ -192,7 +200,7 @@ class BlockMaxIndex:
         return np.bincount(self.who[at], query[own][of] * self.weight[at], self.n)
 
     def _all_cosines(self, at: np.ndarray, by_term: np.ndarray) -> np.ndarray:
-        parts = [(slice(self.lists[t], self.lists[t + 1]), q) for t, q in zip(at.tolist(), by_term.tolist(), strict=True)]
+        parts = [(slice(a, b), q) for a, b, q in zip(self.lists[at].tolist(), self.lists[at + 1].tolist(), by_term.tolist(), strict=True)]
         return np.bincount(np.concatenate([self.who[p] for p, _ in parts]), np.concatenate([self.weight[p] * q for p, q in parts]), self.n)
 
     @staticmethod
@@ -233,8 +241,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Calibrated:
     """An index with the share of label 1 that a vote of it means, fitted on the examples `own` alone."""
 
-    def __init__(self, index: BlockMaxIndex, vectors: list[tuple[list[int], list[int]]], own: list[int]):
+    def __init__(self, index: BlockMaxIndex, vectors: Vectors, own: list[int]):
         self.index = index
+        index.settle()
         votes = [self._raw(*vectors[i], i) for i in own]
         known = np.array([v is not None for v in votes], bool)
         y, w = index.labels[own].astype(float), index.stands_for[own]
@@ -257,7 +266,7 @@ class Calibrated:
 class Model:
     """Two indexes of the same examples: of their telling terms, and of all their words for texts without any of those."""
 
-    def __init__(self, told: list[tuple[list[int], list[int]]], whole: list[tuple[list[int], list[int]]], labels: list[int], doc_ids: list[int], idf: np.ndarray, word_idf: np.ndarray, stands_for: dict[int, float]):
+    def __init__(self, told: Vectors, whole: Vectors, labels: list[int], doc_ids: list[int], idf: np.ndarray, word_idf: np.ndarray, stands_for: dict[int, float]):
         every = range(len(labels))
         self.told = Calibrated(BlockMaxIndex(told, labels, doc_ids, idf, stands_for), told, [i for i in every if len(told[i][0])])
         self.whole = Calibrated(BlockMaxIndex(whole, labels, doc_ids, word_idf, stands_for), whole, [i for i in every if not len(told[i][0])])
@@ -295,6 +304,14 @@ def _idf(counts: DataFrame, ids: str, size: int, n: int) -> np.ndarray:
     return np.log((n + 1) / (df + 1)) + 1
 
 
+def _vectors(seen: pa.Table, ids: str, tfs: str) -> Vectors:
+    """Two columns of lists as views of their flat values, without an object for each number."""
+    at, n = (seen.column(c).combine_chunks() for c in (ids, tfs))
+    ends, terms, counts = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
+    shift = n.offsets.to_numpy() - ends
+    return [(terms[a:b], counts[a + c : b + c]) for a, b, c in zip(ends[:-1].tolist(), ends[1:].tolist(), shift.tolist(), strict=False)]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the five nearest examples: doc_id, label, cosine) of every row.
 
@@ -315,9 +332,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     words = sorted(texts.select("text").mapInArrow(_example_words, "word string").distinct().toArrow().column("word").to_pylist()) if n1 and n0 else []
     counts = written(docs.select("doc_id", "text").mapInArrow(_count_terms(terms, words), COUNTS), "toxicity")
     n = counts.count()
-    seen = texts.select("doc_id", "text").mapInArrow(_count_terms(terms, words), COUNTS).join(F.broadcast(sample), "doc_id").orderBy("doc_id").toArrow().to_pylist()  # a row an example
-    told, whole = [(r["ids"], r["tfs"]) for r in seen], [(r["word_ids"], r["word_tfs"]) for r in seen]
-    model = Model(told, whole, [r["y"] for r in seen], [r["doc_id"] for r in seen], _idf(counts, "ids", len(terms), n), _idf(counts, "word_ids", len(words), n), stands_for)
+    seen = texts.select("doc_id", "text").mapInArrow(_count_terms(terms, words), COUNTS).join(F.broadcast(sample), "doc_id").orderBy("doc_id").toArrow()  # a row an example
+    told, whole = _vectors(seen, "ids", "tfs"), _vectors(seen, "word_ids", "word_tfs")
+    model = Model(told, whole, seen.column("y").to_pylist(), seen.column("doc_id").to_pylist(), _idf(counts, "ids", len(terms), n), _idf(counts, "word_ids", len(words), n), stands_for)
     scored = counts.mapInArrow(_score(model), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
